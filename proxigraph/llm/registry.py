@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from proxigraph.llm import topk_search, url_filter
+from proxigraph.llm import edit_counts, packing, token_store, topk_search, url_filter
 
 QUERIES = {
+    "op3_token_counts": edit_counts.op3_token_counts,
     "op5_exact_topk": topk_search.op5_exact_topk,
+    "op6_packing": packing.op6_packing,
     "op7_url_filters": url_filter.op7_url_filters,
+    "op9_token_store": token_store.op9_token_store,
 }
 
 ORACLES = {
