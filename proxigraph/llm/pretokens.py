@@ -15,7 +15,6 @@ import os
 import re
 import unicodedata
 from collections.abc import Callable
-from itertools import chain
 
 import numpy as np
 
@@ -120,10 +119,4 @@ def encoder(path: str) -> Encoder:
 
 def library_ids(path: str, texts: list[str]) -> list[list[int]]:
     """The library's own answer, for tests."""
-    from tokenizers import Tokenizer
-
-    return [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
-
-
-def flat(parts) -> list:
-    return list(chain.from_iterable(parts))
+    return [e.ids for e in encoder(path).library.encode_batch(texts, add_special_tokens=False)]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from proxigraph.llm import edit_counts, packing, token_store, topk_search, url_filter
+from proxigraph.llm import edit_counts, packing, secret_scan, token_store, topk_search, url_filter
 
 QUERIES = {
+    "op2_secret_scans": secret_scan.op2_secret_scans,
     "op3_token_counts": edit_counts.op3_token_counts,
     "op5_exact_topk": topk_search.op5_exact_topk,
     "op6_packing": packing.op6_packing,
