@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from proxigraph.llm import edit_counts, packing, secret_scan, token_store, topk_search, url_filter
+from proxigraph.llm import edit_counts, language_id, packing, secret_scan, token_store, topk_search, url_filter
 
 QUERIES = {
     "op2_secret_scans": secret_scan.op2_secret_scans,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_url_filters": url_filter.op7_url_filters,
     "op9_token_store": token_store.op9_token_store,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 ORACLES = {
