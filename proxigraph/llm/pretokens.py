@@ -15,6 +15,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Callable
+from struct import pack
 
 import numpy as np
 
@@ -62,7 +63,10 @@ class Memo(dict):
     def __missing__(self, piece: str):
         found = self.old.get(piece)
         if found is None:
-            spelled = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+            if piece.isascii() and piece.isprintable():
+                spelled = piece.replace(" ", BYTE_LETTERS[32])
+            else:
+                spelled = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
             found = self.value([t.id for t in self.model.tokenize(spelled)])
         if len(self) >= self.size:
             self.old = dict(self)
@@ -84,7 +88,7 @@ class Encoder:
         # U+0130 has a lower case of two characters, one of them not covered.
         self.covered = re.compile("[\x00-įı-ſ]*" if self.lower else "[\x00-ſ]*").fullmatch
         self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
-        self.by_bytes = Memo(self.library.model, lambda ids: np.array(ids, "<u4").tobytes(), memo)
+        self.by_bytes = Memo(self.library.model, lambda ids: pack(f"<{len(ids)}I", *ids), memo)
         self.by_count = Memo(self.library.model, len, memo)
 
     def plain(self, text: str) -> bool:
