@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from proxigraph.llm import edit_counts, language_id, packing, secret_scan, token_store, topk_search, url_filter
+from proxigraph.llm import edit_counts, language_id, line_dedup, packing, secret_scan, token_store, topk_search, url_filter
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_secret_scans": secret_scan.op2_secret_scans,
     "op3_token_counts": edit_counts.op3_token_counts,
     "op5_exact_topk": topk_search.op5_exact_topk,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_line_dedup": line_dedup.ORACLE,
     "op5_exact_topk": topk_search.ORACLE,
     "op7_url_filters": url_filter.ORACLE,
 }
