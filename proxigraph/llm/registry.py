@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from proxigraph.llm import edit_counts, language_id, line_dedup, packing, secret_scan, token_store, topk_search, url_filter
+from proxigraph.llm import decontaminate, edit_counts, language_id, line_dedup, packing, secret_scan, token_store, topk_search, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_secret_scans": secret_scan.op2_secret_scans,
     "op3_token_counts": edit_counts.op3_token_counts,
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op5_exact_topk": topk_search.op5_exact_topk,
     "op6_packing": packing.op6_packing,
     "op7_url_filters": url_filter.op7_url_filters,

@@ -1,0 +1,65 @@
+"""Line dedup (1) against a brute-force version that compares template strings."""
+
+import random
+
+from proxigraph.llm import line_dedup as L
+
+
+def brute(rows, min_docs=2):
+    owner, count = {}, {}
+    order = lambda d: L.LAST if d is None else d
+    for doc, text in rows:
+        for key in {t for line in (text or "").encode().split(b"\n") for t in L.templates(line)}:
+            owner[key] = min(owner.get(key, L.LAST), order(doc))
+            count[key] = count.get(key, 0) + 1
+    out = []
+    for doc, text in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if not any(count[t] >= min_docs and owner[t] < order(doc) for t in L.templates(x.encode()))]
+        out.append((doc, "\n".join(kept), len(lines), len(lines) - len(kept)))
+    return out
+
+
+def key(r):
+    return (r[0] is None, r[0] or 0, *r[1:])
+
+
+def test_against_brute_force(docs_of):
+    rng = random.Random(2)
+    words = ["alpha", "beta", "gamma", "delta", "x1", "7", "a@b.c", "http://u/v"]
+    pool = [" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 3, 5, 9, 14]))) for _ in range(60)]
+
+    def line():
+        tokens = rng.choice(pool).split(" ")
+        if rng.random() < 0.4 and tokens:
+            tokens[rng.randrange(len(tokens))] = rng.choice(words)
+        return " ".join(tokens)
+
+    rows = [(i, "\n".join(line() for _ in range(rng.randint(0, 8)))) for i in range(150)]
+    rows += [(300, None), (301, ""), (302, "\n\n"), (303, rows[5][1]), (304, "tail\r\nof one two three\n" * 2)]
+    for min_docs in (2, 4):
+        got = [(r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in L.dedup_lines(docs_of(rows, 5), min_docs).collect()]
+        assert sorted(got, key=key) == sorted(brute(rows, min_docs), key=key)
+
+
+def test_edges(docs_of):
+    long = "one very long line of words " * 50_000
+    rows = [(1, long), (2, long + "\nown line here"), (None, "own line here"), (3, "only once in here"), (3, "only once in here"), (4, "1 2 3 4"), (5, "5 6 7 8"), (6, "short one"), (7, "short one")]
+    got = sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in L.dedup_lines(docs_of(rows)).collect()), key=key)
+    assert got == sorted([(1, long, 1, 0), (2, "own line here", 2, 1), (None, "", 1, 1), (3, "only once in here", 1, 0), (3, "only once in here", 1, 0), (4, "1 2 3 4", 1, 0), (5, "5 6 7 8", 1, 0), (6, "short one", 1, 0), (7, "short one", 1, 0)], key=key)
+    assert L.dedup_lines(docs_of(rows).limit(0)).count() == 0
+
+
+def test_fields_generalise():
+    a = L.templates(b"User alice logged in from the main office at noon today")
+    b = L.templates(b"User alice logged in from the other place at noon today")
+    assert a[0] != b[0] and set(a) & set(b)
+    assert L.templates(b"job 12 of batch 7 done") == L.templates(b"job 13 of batch 9 done")
+    assert not set(a) & set(L.templates(b"User carol logged out of the main building at noon today"))
+
+
+def test_stage_keeps_columns(docs_of):
+    docs = docs_of([(1, "a line of words\nother words in this"), (2, "a line of words")])
+    out = L.deduplicated(docs)
+    assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()} == {1: ("a line of words\nother words in this", 35), 2: ("", 0)}
