@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from proxigraph.llm import decontaminate, edit_counts, language_id, line_dedup, packing, secret_scan, token_store, topk_search, url_filter
+from proxigraph.llm import decontaminate, edit_counts, language_id, line_dedup, near_dedup, packing, secret_scan, token_store, topk_search, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_exact_topk": topk_search.op5_exact_topk,
     "op6_packing": packing.op6_packing,
     "op7_url_filters": url_filter.op7_url_filters,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_token_store": token_store.op9_token_store,
     "op10_language_id": language_id.op10_language_id,
 }
