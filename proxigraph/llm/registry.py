@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op2_secret_scans": secret_scan.ORACLE,
     "op5_exact_topk": topk_search.ORACLE,
     "op7_url_filters": url_filter.ORACLE,
 }

@@ -57,7 +57,7 @@ WINDOW = 20
 CANDIDATE = f"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Class, pattern of the whole candidate, bits a character from which a window counts. The first that fits holds.
-CLASSES = (("digits", r"[0-9+/_=-]*", math.inf), ("hex", r"[0-9a-f]*|[0-9A-F]*", 3.0), ("mixed", r"(?=.*[0-9])(?=.*[A-Za-z]).*", 3.7), ("letters", r".*", 4.05))
+CLASSES = (("digits", r"[0-9+/_=-]*", math.inf), ("hex", r"[0-9a-f]*|[0-9A-F]*", 3.0), ("mixed", r".*[0-9].*", 3.7), ("letters", r".*", 4.05))
 #: Whole candidates that are no secrets: words, UUIDs, documented placeholders, alphabets in order, rows of one character.
 ALLOW = (r"[A-Z]?[a-z]+([_-][A-Za-z]?[a-z]*)*", r"[A-Z]+([_-][A-Z]*)*", r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r".*(EXAMPLE|example|PLACEHOLDER|placeholder|CHANGEME|changeme|XXXX|xxxx).*", r".*(0123456789|abcdefghijklm|ABCDEFGHIJKLM).*", r"(.)\1*")
 UNIT = 1_000_000
@@ -166,3 +166,36 @@ def scan_digest(documents: DataFrame) -> DataFrame:
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_digest(table(spark, sf_dir, "documents"))
+
+
+def _oracle() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    kinds = " UNION ALL ".join(
+        f"SELECT r, t, {quote(k.name)} AS kind, {i} AS ord, regexp_extract_all(t, {quote(k.pattern)}) AS ms, string_split_regex(t, {quote(k.pattern)}) AS gs FROM d"
+        for i, k in enumerate((*KINDS, Kind("entropy", CANDIDATE, 0, WINDOW, ())))
+    )
+    total = lambda xs: f"coalesce(list_sum(list_transform({xs}, lambda x: length(x))), 0)"
+    least = " ".join(f"WHEN kind = '{k.name}' THEN length({f'regexp_extract(x, {quote(k.pattern)}, {k.group})' if k.group else 'x'}) >= {k.least}" for k in KINDS)
+    limits = " ".join(f"WHEN regexp_full_match(x, {quote(p)}) THEN {sum_limit(bits)}" for _, p, bits in CLASSES)
+    allowed = " OR ".join(f"regexp_full_match(x, {quote(p)})" for p in ALLOW[:-1]) + " OR replace(x, x[1], '') = ''"
+    window = f"x[i + 1:i + {WINDOW}]"
+    entropy = f"list_sum(list_transform(list_distinct(string_split({window}, '')), lambda c: p[length({window}) - length(replace({window}, c, '')) + 1]))"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({kinds}),
+u AS (SELECT r, kind, ord, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM m),
+a AS (SELECT r, kind, ord, ms[i] AS x, CAST({total("ms[1:i - 1]")} + {total("gs[1:i]")} AS INTEGER) AS pos FROM u),
+base AS (SELECT r, kind, ord, pos AS s, pos + length(x) AS e FROM a WHERE ord < {len(KINDS)} AND CASE {least} END),
+c AS (SELECT r, kind, ord, pos, x, CASE {limits} END AS most, {list(PLOGP)} AS p FROM a WHERE ord = {len(KINDS)} AND NOT ({allowed})),
+w AS (SELECT r, kind, ord, pos, list_filter(range(0, length(x) - {WINDOW - 1}), lambda i: {entropy} <= most) AS hits FROM c WHERE most >= 0),
+extra AS (SELECT r, kind, ord, pos + list_min(hits) AS s, pos + list_max(hits) + {WINDOW} AS e FROM w WHERE len(hits) > 0),
+good AS (SELECT * FROM base UNION ALL SELECT * FROM extra y WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = y.r AND b.s < y.e AND y.s < b.e)),
+g AS (
+  SELECT r, {", ".join(f"count(*) FILTER (WHERE kind = '{k.name}') AS n_{k.name}" for k in KINDS)}, count(*) FILTER (WHERE kind = 'entropy') AS n_entropy,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) FILTER (WHERE ord < {len(KINDS)}) AS firsts, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS spans
+  FROM good GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{n}, 0) AS n_{n}" for n in (*(k.name for k in KINDS), "entropy"))}, sha256(coalesce(firsts, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON d.r = g.r"""
+
+
+ORACLE = _oracle()
