@@ -13,10 +13,12 @@
    node and with its neighbour in the order of the next band's value. Large
    buckets are dealt to parts of bounded size for the latter. Pairs grow in
    proportion to nodes.
-4. Pairs are verified on whole texts: weighted Jaccard similarity, or that
-   of the plain sets of shingles, of SIMILARITY or more makes a link.
-   Buckets that still hold several components are paired once more across
-   them, until a round adds no link.
+4. Pairs that can't be similar go: by their total weights and counts (a
+   bound), and, if both have MANY shingles or more, by far too few equal
+   samples. The others are verified on whole texts: weighted Jaccard
+   similarity, or that of the plain sets of shingles, of SIMILARITY or more
+   makes a link. Buckets that still hold several components are paired once
+   more across them, until a round adds no link.
 5. Classes are the connected components; a class's id is its smallest
    doc_id, and that document is the one that is kept.
 
@@ -52,6 +54,8 @@ CELLS, CHUNK, FAN_IN = 18, 1 << 12, 256
 AT_ONCE = 200_000
 #: Nodes of a bucket whose neighbours are sought in one group.
 PART = 512
+#: With so many shingles, a pair of SIMILARITY has less than AGREE of its samples equal about once in 10 million times.
+MANY, AGREE = 250, 0.6
 #: Further rounds across components; each is needed only if the one before has found a link.
 ROUNDS = 8
 
@@ -70,15 +74,16 @@ def _cell(shingles: np.ndarray) -> np.ndarray:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    cells, docs = np.zeros(1 << CELLS, np.int64), 0
+    cells, docs, held, size = np.zeros(1 << CELLS, np.int64), 0, [np.zeros(0, np.int64)], 0
     for batch in batches:
         for text in batch["text"].to_pylist():
             docs += 1
-            found = _cell(shingle_counts(text)[0])
-            if len(found) > 10_000:
-                cells += np.bincount(found, minlength=1 << CELLS)
-            else:
-                np.add.at(cells, found, 1)
+            held.append(_cell(shingle_counts(text)[0]))
+            size += len(held[-1])
+            if size > AT_ONCE:
+                cells += np.bincount(np.concatenate(held), minlength=1 << CELLS)
+                held, size = [np.zeros(0, np.int64)], 0
+    cells += np.bincount(np.concatenate(held), minlength=1 << CELLS)
     if docs:
         n = (1 << CELLS) // CHUNK
         data = [cells[i * CHUNK : (i + 1) * CHUNK].astype("<i8").tobytes() for i in range(n)]
@@ -155,13 +160,19 @@ def _sign(idf, schema: pa.Schema):
         for batch in batches:
             digests: list[bytes] = []
             signed: list[np.ndarray] = []
+            marks: list[bytes] = []
+            totals: list[np.ndarray] = []
             held: list[tuple] = []
 
             def flush() -> None:
                 if held:
                     owner = np.repeat(np.arange(len(held)), [len(s) for s, _ in held])
                     shingles, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-                    signed.append(band_values(sample(shingles, counts * table[_cell(shingles)], owner, len(held))))
+                    weights = counts * table[_cell(shingles)]
+                    samples = sample(shingles, weights, owner, len(held))
+                    signed.append(band_values(samples))
+                    marks.extend(row.tobytes() for row in samples.astype("<u2"))
+                    totals.append(np.stack([np.bincount(owner, minlength=len(held)), np.bincount(owner, weights, len(held))], 1))
                     held.clear()
 
             size = 0
@@ -176,7 +187,8 @@ def _sign(idf, schema: pa.Schema):
             flush()
             values = np.concatenate(signed) if signed else np.zeros((0, BANDS), np.int64)
             bands = pa.FixedSizeListArray.from_arrays(pa.array(values.reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary()), bands], schema=schema)
+            sums = np.concatenate(totals) if totals else np.zeros((0, 2))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary()), bands, pa.array(marks, pa.binary()), pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1])], schema=schema)
 
     return run
 
@@ -207,24 +219,43 @@ def _verify(idf, least: float):
     return run
 
 
-def _pairs(members: DataFrame) -> DataFrame:
-    """members: band, value, next, node of buckets; pairs of each node with its bucket's smallest node and with its neighbour."""
+def _likely(least: float):
+    """Pairs that may be similar, by totals and samples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, w = (np.sort(np.stack([batch[f"{c}_u"].to_numpy(), batch[f"{c}_v"].to_numpy()]).astype(np.float64), 0) for c in ("size", "weight"))
+            may = (n[0] >= least * n[1] - 1e-9) | (w[0] >= least * w[1] - 1e-9)
+            a, b = (np.frombuffer(b"".join(batch[f"marks_{side}"].to_pylist()), "<u2").reshape(-1, BINS) for side in "uv")
+            may &= (n[0] < MANY) | ((a == b).mean(1) >= AGREE)
+            yield batch.select(["u", "v"]).filter(pa.array(may))
+
+    return run
+
+
+def _buckets(members: DataFrame) -> DataFrame:
+    """members: band, value, next, node. Those that share their bucket, with its smallest node and its size."""
     sizes = members.groupBy("band", "value").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = members.join(sizes, ["band", "value"])
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PART))
+    return members.join(sizes, ["band", "value"])
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
+
+
+def _pairs(buckets: DataFrame) -> DataFrame:
+    """Pairs of each node with its bucket's smallest node and with its neighbour."""
     near = Window.partitionBy("band", "value", "part").orderBy("next", "node")
-    rows = rows.withColumn("part", part).withColumn("before", F.lag("node").over(near))
-    ends = rows.select("node", F.explode(F.array("first", "before")).alias("other")).where("other is not null and other <> node")
-    return ends.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
+    rows = buckets.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PART))).withColumn("before", F.lag("node").over(near))
+    return _ordered(rows.select("node", F.explode(F.array("first", "before")).alias("other")).where("other is not null and other <> node"))
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """members: band, value, node, class. Each node is paired with the smallest and the largest node of the bucket that belong to other components than its own, where there are any."""
+def _across(buckets: DataFrame) -> DataFrame:
+    """buckets with class. Each node is paired with the smallest and the largest node of the bucket that belong to other components than its own, where there are any."""
     order = lambda f: f(F.struct("class", "node"))
-    ends = members.groupBy("band", "value").agg(order(F.min).alias("a"), order(F.max).alias("b")).where("a.class <> b.class")
-    rows = members.join(ends, ["band", "value"])
-    pairs = rows.select("node", "class", F.explode(F.array("a", "b")).alias("e")).where("e.class <> class").select("node", F.col("e.node").alias("other"))
-    return pairs.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
+    ends = buckets.groupBy("band", "value").agg(order(F.min).alias("a"), order(F.max).alias("b")).where("a.class <> b.class")
+    rows = buckets.join(ends, ["band", "value"])
+    return _ordered(rows.select("node", "class", F.explode(F.array("a", "b")).alias("e")).where("e.class <> class").select("node", F.col("e.node").alias("other")))
 
 
 def _classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -233,50 +264,55 @@ def _classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("node").join(found.select(F.col("u").alias("node"), F.col("v").alias("class")), "node", "left").select("node", F.coalesce("class", "node").alias("class"))
 
 
-def find_classes(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """documents with their columns and _row, _class, _first: the class's first row has _row = _first."""
+def find_classes(documents: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """documents with _row and _digest, and for each _digest: _class (smallest doc_id) and _first (the _row that stays)."""
     spark = documents.sparkSession
     idf = spark.sparkContext.broadcast(idf_table(documents))
     rows = documents.withColumn("_row", F.monotonically_increasing_id())
-    schema = T.StructType([*rows.schema.fields, T.StructField("_digest", T.BinaryType()), T.StructField("_bands", T.ArrayType(T.LongType()))])
+    made = [T.StructField("_digest", T.BinaryType()), T.StructField("_bands", T.ArrayType(T.LongType())), T.StructField("_marks", T.BinaryType()), T.StructField("_size", T.LongType()), T.StructField("_weight", T.DoubleType())]
+    schema = T.StructType([*rows.schema.fields, *made])
     signed = through_files(rows.mapInArrow(_sign(idf, _arrow_schema(schema)), schema), "signed")
-    # Rows of one node have the same bands; the first row in the order of doc_id speaks for it.
+    # Rows of one node have the same samples; the first row in the order of doc_id speaks for it.
     rank = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.col("_row").alias("row"))
-    nodes = through_files(signed.groupBy("_digest").agg(F.min(rank).alias("rank"), F.first("_bands").alias("bands")).select("_digest", "rank", F.col("rank.row").alias("node"), "bands"), "nodes")
+    firsts = [F.first(f"_{c}").alias(c) for c in ("bands", "marks", "size", "weight")]
+    nodes = through_files(signed.groupBy("_digest").agg(F.min(rank).alias("rank"), *firsts).withColumn("node", F.col("rank.row")), "nodes")
     following = F.element_at("bands", F.col("band") % BANDS + 1)
-    members = nodes.where(F.size("bands") > 0).select("node", "bands", F.posexplode("bands").alias("at", "value")).withColumn("band", F.col("at") + 1).select("band", "value", following.alias("next"), "node")
-    pairs = through_files(_pairs(members), "pairs")
+    members = nodes.where("size > 0").select("node", "bands", F.posexplode("bands").alias("at", "value")).withColumn("band", F.col("at") + 1).select("band", "value", following.alias("next"), "node")
+    buckets = through_files(_buckets(members), "buckets")
+    tokens = nodes.select("node", "marks", "size", "weight")
     texts = signed.select(F.col("_row").alias("node"), "text")
 
+    def sided(df: DataFrame, side: str) -> DataFrame:
+        return df.withColumnsRenamed({c: side if c == "node" else f"{c}_{side}" for c in df.columns})
+
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        marked = pairs.join(sided(tokens, "u"), "u").join(sided(tokens, "v"), "v")
+        likely = through_files(marked.mapInArrow(_likely(least), "u long, v long"), "likely")
+        # Written, so that Spark knows their number before it decides how to join them with the texts.
+        wanted = through_files(likely.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "wanted")
         some = texts.join(wanted, "node", "left_semi")
-        both = pairs.join(some.withColumnsRenamed({"node": "u", "text": "text_u"}), "u").join(some.withColumnsRenamed({"node": "v", "text": "text_v"}), "v")
+        both = likely.join(sided(some, "u"), "u").join(sided(some, "v"), "v")
         return through_files(both.mapInArrow(_verify(idf, least), "u long, v long"), "verified")
 
+    pairs = through_files(_pairs(buckets), "pairs")
     links = verified(pairs)
     classes = through_files(_classes(nodes, links), "classes")
     for _ in range(ROUNDS):
-        tried = pairs
-        across = _across(members.join(classes, "node"))
-        pairs = through_files(across.join(tried, ["u", "v"], "left_anti"), "pairs")
-        if pairs.limit(1).count() == 0:
-            break
-        more = verified(pairs)
+        fresh = through_files(_across(buckets.join(classes, "node")).join(pairs, ["u", "v"], "left_anti"), "pairs")
+        more = verified(fresh)
         if more.limit(1).count() == 0:
             break
-        links = through_files(links.unionByName(more), "links")
-        pairs = through_files(tried.unionByName(pairs), "pairs")
+        links, pairs = links.unionByName(more), pairs.unionByName(fresh)
         classes = through_files(_classes(nodes, links), "classes")
     named = nodes.select("_digest", "node", "rank").join(classes, "node")
     firsts = named.groupBy("class").agg(F.min("rank").alias("first"))
-    named = named.join(firsts, "class").select("_digest", F.col("first.id").alias("_class"), F.col("first.row").alias("_first"))
-    return signed.drop("_bands").join(named, "_digest").drop("_digest")
+    return signed, named.join(firsts, "class").select("_digest", F.col("first.id").alias("_class"), F.col("first.row").alias("_first"))
 
 
 def near_duplicates(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """documents: doc_id, text. One row a document: doc_id, class_id (the class's smallest doc_id; null if it has none), kept."""
-    found = find_classes(documents.select("doc_id", "text"), least)
+    signed, classes = find_classes(documents.select("doc_id", "text"), least)
+    found = signed.select("doc_id", "_row", "_digest").join(classes, "_digest")
     return found.select("doc_id", F.when(F.col("_class") < 2**63 - 1, F.col("_class")).alias("class_id"), (F.col("_row") == F.col("_first")).alias("kept"))
 
 
@@ -286,5 +322,6 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def distinct_documents(documents: DataFrame) -> DataFrame:
     """The pipeline's stage: one document of each class, all columns kept."""
-    found = find_classes(documents)
-    return found.where(F.col("_row") == F.col("_first")).select(*documents.columns)
+    signed, classes = find_classes(documents)
+    gone = through_files(signed.select("_row", "_digest").join(classes, "_digest").where("_row <> _first").select("_row"), "gone")
+    return signed.join(gone, "_row", "left_anti").select(*documents.columns)
