@@ -23,26 +23,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from proxigraph.llm import decontaminate, language_id, line_dedup, near_dedup, packing
-from proxigraph.llm.common import table, through_files
+from proxigraph.llm.common import small_batches, table, through_files
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return language_id.accepted(docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return line_dedup.deduplicated(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_dedup.distinct_documents(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontaminate.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.digest(docs)
 
 

@@ -4,28 +4,26 @@ from __future__ import annotations
 
 import sys
 import types
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from proxigraph.storage import scratch, through_files
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["scratch", "small_batches", "table", "through_files", "worker_state"]
+
+ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def small_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH_ROWS rows: of documents, Spark's default of 10,000 takes hundreds of MB in each worker."""
+    if not 0 < int(spark.conf.get(ARROW)) <= BATCH_ROWS:
+        spark.conf.set(ARROW, BATCH_ROWS)
 
 
-def through_files(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def worker_state() -> types.ModuleType:

@@ -34,7 +34,7 @@ from proxigraph.llm.common import table, worker_state
 DIMENSIONS = 1024
 SEED = 20_260
 #: Characters and documents that are counted at a time.
-CHARS, DOCS = 500_000, 256
+CHARS, DOCS = 300_000, 128
 UNKNOWN = "und"
 #: The pipeline rejects what is less alike to every language than this.
 LEAST = 0.05
