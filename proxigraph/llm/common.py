@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from proxigraph.storage import scratch, through_files
 
-__all__ = ["scratch", "small_batches", "table", "through_files", "worker_state"]
+__all__ = ["scratch", "shield", "small_batches", "table", "through_files", "worker_state"]
 
 ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1000
@@ -26,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shield(documents: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """documents with all columns but the needed ones under names that no operator uses, and what gives the old columns back."""
+    names = {c: c if c in needed else f"x{i}_" for i, c in enumerate(documents.columns)}
+    return documents.toDF(*names.values()), lambda df: df.select(*[F.col(new).alias(old) for old, new in names.items()])
+
+
 def worker_state() -> types.ModuleType:
     """A place that lives as long as the Python worker, for caches that tasks share.
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proxigraph.llm.common import table, through_files
+from proxigraph.llm.common import shield, table, through_files
 from proxigraph.llm.shingles import runs, word_numbers
 
 SEED, COVERAGE = 5, 0.5
@@ -156,5 +156,6 @@ def uncontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Whether a document is contaminated depends on its text alone, so rows are told apart by a digest of the text.
     """
-    flagged = _found(documents, benchmark, COVERAGE).select("digest").distinct()
-    return documents.withColumn("_own", F.md5(F.coalesce("text", F.lit("")))).join(flagged, F.col("_own") == F.col("digest"), "left_anti").drop("_own")
+    plain, restore = shield(documents, "doc_id", "text")
+    flagged = _found(plain, benchmark, COVERAGE).select("digest").distinct()
+    return restore(plain.withColumn("own", F.md5(F.coalesce("text", F.lit("")))).join(flagged, F.col("own") == F.col("digest"), "left_anti"))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proxigraph.llm.common import table
+from proxigraph.llm.common import shield, table
 
 LEAD, SEGMENTS, MIN_TOKENS, MIN_GENERAL, MIN_DOCS = 2, 3, 3, 8, 2
 WILDCARD = b"<*>"
@@ -123,7 +123,8 @@ def dropped_lines(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 
 def dedup_lines(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """documents with text less its dropped lines; adds n_lines and n_dropped."""
+    """doc_id and text, less its dropped lines, and other columns of documents; adds n_lines and n_dropped, in place of columns of these names."""
+    documents = documents.drop("n_lines", "n_dropped")
     drops = dropped_lines(documents, min_docs).select(F.col("doc").alias("_doc"), F.col("lines").alias("_lines"))
     joined = documents.withColumn("_order", _order(F.col("doc_id"))).join(drops, F.col("_order") == F.col("_doc"), "left")
     parts = joined.withColumn("_parts", F.split(F.coalesce("text", F.lit("")), "\n", -1))
@@ -141,8 +142,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deduplicated(documents: DataFrame) -> DataFrame:
     """The pipeline's stage: the same columns, with n_chars of the text that is left."""
-    out = dedup_lines(documents)
-    return out.select(*[F.char_length("text").cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else c for c in documents.columns])
+    plain, restore = shield(documents, "doc_id", "text", "n_chars")
+    out = dedup_lines(plain)
+    if "n_chars" in plain.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(plain.schema["n_chars"].dataType))
+    return restore(out)
 
 
 def _oracle() -> str:
