@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under spark.checkpoint.dir, which the cluster sets."""
+    """A fresh path under spark.checkpoint.dir, which the cluster sets. Only a local session may leave it unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and re.match(r"local(\[|$)", spark.sparkContext.master):
+        base = f"{tempfile.gettempdir()}/proxigraph-{spark.sparkContext.applicationId}"
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -9,6 +9,7 @@ from proxigraph.sources import ground_truth as T
 from proxigraph.sources.graph_file import EMPTY, HEADER, write_graph
 from proxigraph.sources.vecs import read_bvecs_as_float, read_vecs, to_bytes
 from proxigraph.sources.vectors import from_array, synthetic
+from proxigraph.storage import scratch
 from tests.test_graphs import NEAR, POINTS, lists
 
 
@@ -116,3 +117,24 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
         with pytest.raises(SystemExit) as e:
             cli.main(fine)
         assert e.value.code == 0
+
+
+def test_scratch_folder(spark):
+    class Conf:
+        def __init__(self, value):
+            self.value = value
+
+        def get(self, key, default=None):
+            return self.value if key == "spark.checkpoint.dir" else default
+
+    class Session:
+        def __init__(self, value, master):
+            self.conf = Conf(value)
+            self.sparkContext = type("Context", (), {"master": master, "applicationId": "app-1", "getConf": lambda _: Conf(value)})()
+
+    assert scratch(Session("hdfs://shared/", "yarn"), "t").startswith("hdfs://shared/t-")
+    assert "proxigraph-app-1/t-" in scratch(Session(None, "local[4]"), "t")
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
+        with pytest.raises(ValueError):
+            scratch(Session(None, master), "t")
+    assert scratch(spark, "t") != scratch(spark, "t")
