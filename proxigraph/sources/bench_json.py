@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Counters of a run; files keep them in its row or in an object ``counters`` there.
-COUNTERS = ("n", "d", "k", "recall_at_k", "peak_memory_mb", "n_distance_computations", "threads", "use_reverse", "rho", "iters")
+COUNTERS = ("n", "d", "k", "recall_at_k", "peak_memory_mb", "n_distance_computations", "threads", "use_reverse", "rho", "iterations")
 
 
 def _counter(name: str) -> Column:

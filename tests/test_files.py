@@ -151,7 +151,7 @@ def test_benchmark_results(spark, tmp_path):
         {"run_name": "exact/1024/128", "run_type": "aggregate", "real_time": 71.0},
         {"run_name": "par/1024/128/1", "run_type": "iteration", "real_time": 64.0, "counters": {"threads": 1, "recall_at_k": 1.0, "n": 1024, "d": 128}},
         {"run_name": "par/1024/128/4", "run_type": "iteration", "real_time": 16.0, "counters": {"threads": 4, "recall_at_k": 1.0, "n": 1024, "d": 128}},
-        {"run_name": "descent/1024/128", "run_type": "iteration", "real_time": 66.7, "counters": {"use_reverse": 1, "rho": 0.5, "iters": 32, "recall_at_k": 0.6}},
+        {"run_name": "descent/1024/128", "run_type": "iteration", "real_time": 66.7, "counters": {"use_reverse": 1, "rho": 0.5, "iterations": 32, "recall_at_k": 0.6}},
     ]
     (tmp_path / "b.json").write_text(json.dumps({"context": {}, "benchmarks": rows}))
     runs = J.read_runs(spark, str(tmp_path / "b.json")).cache()
@@ -159,4 +159,4 @@ def test_benchmark_results(spark, tmp_path):
     assert {r["run_name"] for r in J.ladder(J.of_shape(runs, 1024, 128)).collect()} == {"exact/1024/128", "descent/1024/128"}
     assert [(r["family"], r["threads"], r["speedup"]) for r in J.scaling(runs).orderBy("threads").collect()] == [("par", 1, 1), ("par", 4, 4)]
     assert [(r["d"], r["n"]) for r in J.series(runs).collect()] == [(32, 256), (128, 1024), (128, 1024), (128, 1024)]
-    assert runs.where("rho = 0.5").first()["iters"] == 32
+    assert runs.where("rho = 0.5").first()["iterations"] == 32
