@@ -9,16 +9,19 @@
    its quantised weight are the bin's sample. Empty bins borrow from the
    filled bin that a fixed random order names. ROWS bins are a band.
 3. Texts with the same words are one node from here on. Nodes that share a
-   band's value meet in its bucket: each is paired with the bucket's smallest
-   node and with its neighbour in the order of the next band's value. Large
-   buckets are dealt to parts of bounded size for the latter. Pairs grow in
-   proportion to nodes.
+   band's value meet in its bucket; each is paired with the bucket's smallest
+   node.
 4. Pairs that can't be similar go: by their total weights and counts (a
    bound), and, if both have MANY shingles or more, by far too few equal
    samples. The others are verified on whole texts: weighted Jaccard
    similarity, or that of the plain sets of shingles, of SIMILARITY or more
-   makes a link. Buckets that still hold several components are paired once
-   more across them, until a round adds no link.
+   makes a link. Then, round by round, buckets that still hold several
+   components are put in the orders of other bands, where nodes that share
+   much come to lie close, and each node is paired with the one of most equal
+   samples among REACH rows on either side that belong to another component,
+   one of no fewer nodes than its own. The search ends once QUIET rounds in a
+   row add no link. Ranges of an order are dealt to tasks, so a bucket may be
+   of any size, and a round's pairs grow in proportion to nodes.
 5. Classes are the connected components; a class's id is its smallest
    doc_id, and that document is the one that is kept.
 
@@ -34,14 +37,15 @@ empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proxigraph.llm.common import table, through_files
+from proxigraph.llm.common import shield, table, through_files
 from proxigraph.llm.components import components
 from proxigraph.llm.shingles import mix, runs, word_numbers
 
@@ -52,12 +56,10 @@ BINS = BANDS * ROWS
 CELLS, CHUNK, FAN_IN = 18, 1 << 12, 256
 #: Shingles that are sampled at a time.
 AT_ONCE = 200_000
-#: Nodes of a bucket whose neighbours are sought in one group.
-PART = 512
 #: With so many shingles, a pair of SIMILARITY has less than AGREE of its samples equal about once in 10 million times.
 MANY, AGREE = 250, 0.6
-#: Further rounds across components; each is needed only if the one before has found a link.
-ROUNDS = 8
+#: Orders of each further round, others that a row is compared with on either side, and rounds without a link that end the search.
+ORDERS, REACH, QUIET = 6, 16, 1
 
 
 def shingle_counts(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,7 +173,7 @@ def _sign(idf, schema: pa.Schema):
                     weights = counts * table[_cell(shingles)]
                     samples = sample(shingles, weights, owner, len(held))
                     signed.append(band_values(samples))
-                    marks.extend(row.tobytes() for row in samples.astype("<u2"))
+                    marks.extend(row.tobytes() for row in (samples >> np.uint64(8)).astype(np.uint8))
                     totals.append(np.stack([np.bincount(owner, minlength=len(held)), np.bincount(owner, weights, len(held))], 1))
                     held.clear()
 
@@ -219,49 +221,85 @@ def _verify(idf, least: float):
     return run
 
 
-def _likely(least: float):
-    """Pairs that may be similar, by totals and samples."""
+def _may(n: np.ndarray, m: np.ndarray, v: np.ndarray, w: np.ndarray, agree: np.ndarray, least: float) -> np.ndarray:
+    """Pairs that may be similar, by counts n and m, total weights v and w, and equal samples."""
+    near = lambda a, b: np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9
+    return (near(n, m) | near(v, w)) & ((np.minimum(n, m) < MANY) | (agree >= AGREE))
+
+
+def _matrix(marks: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(marks.to_pylist()), np.uint8).reshape(-1, BINS)
+
 
+def _likely(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, w = (np.sort(np.stack([batch[f"{c}_u"].to_numpy(), batch[f"{c}_v"].to_numpy()]).astype(np.float64), 0) for c in ("size", "weight"))
-            may = (n[0] >= least * n[1] - 1e-9) | (w[0] >= least * w[1] - 1e-9)
-            a, b = (np.frombuffer(b"".join(batch[f"marks_{side}"].to_pylist()), "<u2").reshape(-1, BINS) for side in "uv")
-            may &= (n[0] < MANY) | ((a == b).mean(1) >= AGREE)
-            yield batch.select(["u", "v"]).filter(pa.array(may))
+            agree = (_matrix(batch["marks_u"]) == _matrix(batch["marks_v"])).mean(1)
+            yield batch.select(["u", "v"]).filter(pa.array(_may(*(batch[c].to_numpy() for c in ("size_u", "size_v", "weight_u", "weight_v")), agree, least)))
 
     return run
 
 
 def _buckets(members: DataFrame) -> DataFrame:
-    """members: band, value, next, node. Those that share their bucket, with its smallest node and its size."""
+    """members: band, value, node. Those that share their bucket, with its smallest node and its size."""
     sizes = members.groupBy("band", "value").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return members.join(sizes, ["band", "value"])
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
+ORDER = ["band", "value", "turn", "node"]
+
+
+def _ahead(skip: int) -> Column:
+    """The high halves of two bands that follow a row's own."""
+    half = lambda i: F.shiftrightunsigned(F.element_at("bands", (F.col("band") + i) % BANDS + 1), 32)
+    return F.shiftleft(half(skip), 32).bitwiseOR(half(skip + 1))
+
+
+def _closest(least: float):
+    """Rows in order, with class, its nodes, and samples -> pairs of each node with its closest stranger before and after it in its bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = [batch[c].to_numpy() for c in ("band", "value", "node", "class", "members", "size", "weight")] + [_matrix(batch["marks"])]
+            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            band, value, node, kind, members, size, weight, marks = rows
+            score, mate = np.zeros((2, len(node))), np.full((2, len(node)), -1)
+            for d in range(1, min(REACH, len(node) - 1) + 1):
+                at = np.flatnonzero((band[d:] == band[:-d]) & (value[d:] == value[:-d]) & (kind[d:] != kind[:-d]))
+                agree = (marks[at + d] == marks[at]).mean(1)
+                good = _may(size[at + d], size[at], weight[at + d], weight[at], agree, least)
+                for side, mine, other in ((0, at[good] + d, at[good]), (1, at[good], at[good] + d)):
+                    better = (agree[good] > score[side, mine]) & (members[mine] <= members[other])
+                    score[side, mine[better]], mate[side, mine[better]] = agree[good][better], other[better]
+            held = [x[-REACH:] for x in rows]
+            side, mine = np.nonzero(mate >= 0)
+            pairs = np.sort(np.stack([node[mine], node[mate[side, mine]]]), 0)
+            pairs = np.unique(pairs, axis=1) if pairs.shape[1] else pairs
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[1], pa.int64()), pa.array(pairs[0], pa.int64())], ["u", "v"])
+
+    return run
 
 
-def _pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs of each node with its bucket's smallest node and with its neighbour."""
-    near = Window.partitionBy("band", "value", "part").orderBy("next", "node")
-    rows = buckets.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PART))).withColumn("before", F.lag("node").over(near))
-    return _ordered(rows.select("node", F.explode(F.array("first", "before")).alias("other")).where("other is not null and other <> node"))
+def _across(buckets: DataFrame, nodes: DataFrame, turn: int, least: float) -> DataFrame:
+    """buckets with class; nodes: those in buckets."""
+    mixed = buckets.groupBy("band", "value").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("band", "value")
+    rows = buckets.join(mixed, ["band", "value"]).join(nodes.select("node", "bands", "size", "weight", "marks"), "node")
+    orders = [_ahead((turn * ORDERS + i) * 2 % (BANDS - 1)).alias(f"turn{i}") for i in range(ORDERS)]
+    rows = through_files(rows.select("band", "value", "node", "class", "members", "size", "weight", "marks", *orders), "mixed")
 
+    def found(i: int) -> DataFrame:
+        dealt = rows.withColumn("turn", F.col(f"turn{i}")).drop(*[f"turn{j}" for j in range(ORDERS)])
+        return dealt.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(_closest(least), "u long, v long")
 
-def _across(buckets: DataFrame) -> DataFrame:
-    """buckets with class. Each node is paired with the smallest and the largest node of the bucket that belong to other components than its own, where there are any."""
-    order = lambda f: f(F.struct("class", "node"))
-    ends = buckets.groupBy("band", "value").agg(order(F.min).alias("a"), order(F.max).alias("b")).where("a.class <> b.class")
-    rows = buckets.join(ends, ["band", "value"])
-    return _ordered(rows.select("node", "class", F.explode(F.array("a", "b")).alias("e")).where("e.class <> class").select("node", F.col("e.node").alias("other")))
+    return reduce(DataFrame.unionByName, map(found, range(ORDERS))).distinct()
 
 
 def _classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """node, class for all nodes."""
+    """node, class and the class's number of members, for all nodes."""
     found = components(links)
-    return nodes.select("node").join(found.select(F.col("u").alias("node"), F.col("v").alias("class")), "node", "left").select("node", F.coalesce("class", "node").alias("class"))
+    classes = nodes.select("node").join(found.select(F.col("u").alias("node"), F.col("v").alias("class")), "node", "left").select("node", F.coalesce("class", "node").alias("class"))
+    return classes.join(classes.groupBy("class").agg(F.count(F.lit(1)).alias("members")), "class")
 
 
 def find_classes(documents: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -276,33 +314,36 @@ def find_classes(documents: DataFrame, least: float = SIMILARITY) -> tuple[DataF
     rank = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.col("_row").alias("row"))
     firsts = [F.first(f"_{c}").alias(c) for c in ("bands", "marks", "size", "weight")]
     nodes = through_files(signed.groupBy("_digest").agg(F.min(rank).alias("rank"), *firsts).withColumn("node", F.col("rank.row")), "nodes")
-    following = F.element_at("bands", F.col("band") % BANDS + 1)
-    members = nodes.where("size > 0").select("node", "bands", F.posexplode("bands").alias("at", "value")).withColumn("band", F.col("at") + 1).select("band", "value", following.alias("next"), "node")
+    members = nodes.where("size > 0").select("node", "bands", F.posexplode("bands").alias("at", "value")).withColumn("band", F.col("at") + 1).select("band", "value", "node")
     buckets = through_files(_buckets(members), "buckets")
-    tokens = nodes.select("node", "marks", "size", "weight")
+    bucketed = through_files(nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "bands", "size", "weight", "marks"), "bucketed")
     texts = signed.select(F.col("_row").alias("node"), "text")
 
     def sided(df: DataFrame, side: str) -> DataFrame:
         return df.withColumnsRenamed({c: side if c == "node" else f"{c}_{side}" for c in df.columns})
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        marked = pairs.join(sided(tokens, "u"), "u").join(sided(tokens, "v"), "v")
-        likely = through_files(marked.mapInArrow(_likely(least), "u long, v long"), "likely")
+    def verified(likely: DataFrame) -> DataFrame:
         # Written, so that Spark knows their number before it decides how to join them with the texts.
         wanted = through_files(likely.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "wanted")
         some = texts.join(wanted, "node", "left_semi")
         both = likely.join(sided(some, "u"), "u").join(sided(some, "v"), "v")
         return through_files(both.mapInArrow(_verify(idf, least), "u long, v long"), "verified")
 
-    pairs = through_files(_pairs(buckets), "pairs")
+    stars = buckets.where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct()
+    tokens = bucketed.drop("bands")
+    marked = stars.join(sided(tokens, "u"), "u").join(sided(tokens, "v"), "v")
+    pairs = through_files(marked.mapInArrow(_likely(least), "u long, v long"), "pairs")
     links = verified(pairs)
     classes = through_files(_classes(nodes, links), "classes")
-    for _ in range(ROUNDS):
-        fresh = through_files(_across(buckets.join(classes, "node")).join(pairs, ["u", "v"], "left_anti"), "pairs")
+    turn = quiet = 0
+    while quiet < QUIET:
+        fresh = through_files(_across(buckets.join(classes, "node"), bucketed, turn, least).join(pairs, ["u", "v"], "left_anti"), "pairs")
         more = verified(fresh)
+        pairs, turn = pairs.unionByName(fresh), turn + 1
         if more.limit(1).count() == 0:
-            break
-        links, pairs = links.unionByName(more), pairs.unionByName(fresh)
+            quiet += 1
+            continue
+        links, quiet = links.unionByName(more), 0
         classes = through_files(_classes(nodes, links), "classes")
     named = nodes.select("_digest", "node", "rank").join(classes, "node")
     firsts = named.groupBy("class").agg(F.min("rank").alias("first"))
@@ -322,6 +363,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def distinct_documents(documents: DataFrame) -> DataFrame:
     """The pipeline's stage: one document of each class, all columns kept."""
-    signed, classes = find_classes(documents)
+    plain, restore = shield(documents, "doc_id", "text")
+    signed, classes = find_classes(plain)
     gone = through_files(signed.select("_row", "_digest").join(classes, "_digest").where("_row <> _first").select("_row"), "gone")
-    return signed.join(gone, "_row", "left_anti").select(*documents.columns)
+    return restore(signed.join(gone, "_row", "left_anti"))

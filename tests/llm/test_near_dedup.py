@@ -69,14 +69,34 @@ def test_classes_equal_all_pairs(docs_of):
     assert len(kept) == len({w[1] for w in want}) and all(r["doc_id"] == r["class_id"] for r in kept)
 
 
-def test_large_bucket_in_parts(docs_of, monkeypatch):
-    monkeypatch.setattr(N, "PART", 4)
-    rows = corpus()
+def test_group_without_a_centre(docs_of):
+    """Copies of copies: most are alike, many only to a few others."""
+    rng = random.Random(30)
+    texts = [prose(rng, 150)]
+    for _ in range(140):
+        texts.append(edit(rng, rng.choice(texts[-25:]), rng.choice([1, 2, 3, 4])))
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     docs = docs_of(rows, 3)
     want = brute(rows, N.idf_table(docs))
     assert sorted((r["doc_id"], r["class_id"]) for r in N.near_duplicates(docs).collect()) == sorted(want)
 
 
+def test_closest_strangers_over_batches():
+    import pyarrow as pa
+
+    marks = np.zeros((7, N.BINS), np.uint8)
+    marks[2, :20] = marks[3, :10] = 1
+    marks[5, :60] = marks[6, :90] = 2
+    rows = [(1, 5, 10, 10, 0), (1, 5, 11, 10, 0), (1, 5, 12, 10, 3), (1, 5, 13, 10, 3), (1, 6, 14, 14, 3), (1, 6, 15, 14, 2), (1, 6, 16, 14, 2)]
+    rows = [(b, v, n, k, 3, 9, 9.0, m.tobytes()) for (b, v, n, _, k), m in zip(rows, marks, strict=True)]
+    columns = ["band", "value", "node", "class", "members", "size", "weight", "marks"]
+    for size in (1, 2, 7):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + size], strict=True)], columns) for i in range(0, len(rows), size)]
+        pairs = {(r["u"], r["v"]) for b in N._closest(0.8)(iter(batches)) for r in b.to_pylist()}
+        # Of equally close ones the nearer row: 12 and 13 both pair with 11, 11 with 12 or 13 by batch.
+        assert {(12, 11), (13, 11), (15, 14), (16, 14)} <= pairs <= {(12, 11), (13, 11), (13, 10), (12, 10), (15, 14), (16, 14)}
+
+
 def test_samples_collide_as_weighted_jaccard():
     rng = np.random.default_rng(5)
     shingles = rng.integers(0, 2**63, 4_000).astype(np.uint64)

@@ -70,6 +70,28 @@ def test_stages(spark, folder):
     check_packing(P.run(spark, path).collect(), clean, 2048)
 
 
+def test_clashing_columns(spark, folder):
+    """Names that the operators use inside are a table's own columns here; they come back with their values."""
+    path, _, _ = folder
+    names = ["_row", "_digest", "digest", "own", "N_LINES", "n_dropped", "node", "doc", "line", "lang_pred", "score", "class", "x0_", "seeds", "row", "_order"]
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for i, n in enumerate(names):
+        docs = docs.withColumn(n, docs.doc_id + i)
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == r["doc_id"] + i for r in rows for i, n in enumerate(names)), name
+    assert P.STAGES[-1][1](spark, docs, path).count() > 0
+
+
+def test_empty_documents(spark, folder):
+    path, _, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").limit(0)
+    for name, stage in P.STAGES:
+        assert stage(spark, docs, path).count() == 0, name
+
+
 def test_registry():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES)
     assert numbers == list(range(1, 11)) and set(registry.ORACLES) <= set(registry.QUERIES)
