@@ -26,6 +26,10 @@ from proxigraph.llm import decontaminate, language_id, line_dedup, near_dedup, p
 from proxigraph.llm.common import small_batches, table, through_files
 
 
+#: Pre-tokens that a worker keeps for packing: fewer than op6 keeps, as the memory of all stages adds up in a worker.
+PACKING_MEMO = 60_000
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return language_id.accepted(docs)
@@ -48,7 +52,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return packing.digest(docs)
+    return packing.digest(docs, PACKING_MEMO)
 
 
 STAGES = [

@@ -86,13 +86,13 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _suspects(bitmap, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(bitmap.value, bitorder="little").view(bool)
+        bits = bitmap.value
         for batch in batches:
             keep, seeds = [], []
             for i, text in enumerate(batch["text"].to_pylist()):
                 found = runs(word_numbers(text), SEED)
                 one, two = _bits(found)
-                found = np.unique(found[bits[one] & bits[two]])
+                found = np.unique(found[((bits[one >> 3] >> (one & 7)) & (bits[two >> 3] >> (two & 7)) & 1).astype(bool)])
                 if len(found):
                     keep.append(i)
                     seeds.append(found.view(np.int64))

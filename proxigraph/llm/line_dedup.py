@@ -101,7 +101,7 @@ def _keys(with_lines: bool):
                 if seen:
                     keys += seen
                     docs += [doc] * len(seen)
-                if len(keys) > 200_000:
+                if len(keys) > 50_000:
                     yield flush()
             yield flush()
 

@@ -55,7 +55,7 @@ BINS = BANDS * ROWS
 #: Cells of the table of document frequencies, as a power of two, and the rows a task sends it in.
 CELLS, CHUNK, FAN_IN = 18, 1 << 12, 256
 #: Shingles that are sampled at a time.
-AT_ONCE = 200_000
+AT_ONCE = 50_000
 #: With so many shingles, a pair of SIMILARITY has less than AGREE of its samples equal about once in 10 million times.
 MANY, AGREE = 250, 0.6
 #: Orders of each further round, others that a row is compared with on either side, and rounds without a link that end the search.

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proxigraph.llm.common import table, through_files
-from proxigraph.llm.pretokens import encoder, tokenizer_path
+from proxigraph.llm.pretokens import MEMO, encoder, tokenizer_path
 
 SEQ_LEN, END, MAX_QUEUES = 2048, 1, 255
 TOKENS_SCHEMA = "block int, place long, source string, doc_id long, n long, ids binary"
@@ -94,11 +94,11 @@ class Schedule:
         return p.round + ((token - p.served[q] + 1) * p.total - 1) // (self.window * p.shares[q])
 
 
-def _tokenise(path: str, end: int):
+def _tokenise(path: str, end: int, memo: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, block = encoder(path).ids, TaskContext.get().partitionId()
+        encode, block = encoder(path, memo).ids, TaskContext.get().partitionId()
         seen: dict[str | None, int] = {}
         schema = pa.schema([("block", pa.int32()), ("place", pa.int64()), ("source", pa.string()), ("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
@@ -166,7 +166,7 @@ def _cut(plan: Schedule, seq_len: int, with_ids: bool):
     return run
 
 
-def pack(documents: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, window: int | None = None, targets: dict[str | None, float] | None = None, max_queues: int = MAX_QUEUES, end: int = END, with_ids: bool = True) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, window: int | None = None, targets: dict[str | None, float] | None = None, max_queues: int = MAX_QUEUES, end: int = END, with_ids: bool = True, memo: int = MEMO) -> DataFrame:
     """documents: doc_id, source, text. One row a piece, see PIECE_SCHEMA; ids are little-endian uint32.
 
     targets: tokens of a source in a window, as relative weights; by default the sources' shares of all tokens.
@@ -176,7 +176,7 @@ def pack(documents: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, window: i
     rows = documents.select("doc_id", "source", "text")
     if any(f.dataType.typeName() == "void" for f in rows.schema):
         rows = rows.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
-    tokens = through_files(rows.mapInArrow(_tokenise(tokenizer, end), TOKENS_SCHEMA), "packing-tokens")
+    tokens = through_files(rows.mapInArrow(_tokenise(tokenizer, end, memo), TOKENS_SCHEMA), "packing-tokens")
     blocks = tokens.groupBy("source", "block").agg(F.sum("n").alias("n"))
     totals = blocks.groupBy("source").agg(F.sum("n").alias("n"))
     top = [(r["source"], r["n"]) for r in totals.orderBy(F.col("n").desc(), F.col("source")).limit(max_queues).collect()]
@@ -211,8 +211,8 @@ def sequences(pieces: DataFrame, seq_len: int = SEQ_LEN, pad: int = 0) -> DataFr
     return pieces.select("sequence_id", "offset", "ids").groupBy("sequence_id").applyInArrow(build, "sequence_id long, n_tokens int, ids array<int>")
 
 
-def digest(documents: DataFrame) -> DataFrame:
-    pieces = pack(documents, tokenizer_path("byte_bpe_50k.json"), with_ids=False)
+def digest(documents: DataFrame, memo: int = MEMO) -> DataFrame:
+    pieces = pack(documents, tokenizer_path("byte_bpe_50k.json"), with_ids=False, memo=memo)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

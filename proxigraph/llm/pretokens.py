@@ -113,12 +113,12 @@ class Encoder:
         return list(map(self.by_count.__getitem__, pieces))
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for this file; tasks share it."""
+def encoder(path: str, memo: int = MEMO) -> Encoder:
+    """The worker's encoder for this file; tasks share it. It lives as long as the worker, so pipelines of several stages take a smaller memo."""
     cache = worker_state().__dict__.setdefault("encoders", {})
-    if path not in cache:
-        cache[path] = Encoder(path)
-    return cache[path]
+    if (path, memo) not in cache:
+        cache[path, memo] = Encoder(path, memo)
+    return cache[path, memo]
 
 
 def library_ids(path: str, texts: list[str]) -> list[list[int]]:

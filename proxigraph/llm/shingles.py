@@ -9,7 +9,7 @@ import numpy as np
 from proxigraph.llm.common import worker_state
 
 #: Words kept at a time, about 150 bytes each.
-MEMO = 300_000
+MEMO = 100_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 words = re.compile(r"\w+").findall
 
