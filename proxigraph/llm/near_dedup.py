@@ -4,10 +4,14 @@
    shingle's count is that of its cell less the mean load of the others. A
    weight is the term frequency times 1 + the inverse document frequency
    scaled to 0..1, so that what a whole group of copies shares still counts.
-2. Each shingle draws its consistent weighted sample (r, c, beta from its
-   number) once and competes in one of BANDS * ROWS bins; a bin's winner and
-   its quantised weight are the bin's sample. Empty bins borrow from the
-   filled bin that a fixed random order names. ROWS bins are a band.
+2. A shingle that occurs k times is k replicas, each of the weight of a single
+   occurrence. Each replica draws its consistent weighted sample (r, c, beta
+   from the shingle's number and the occurrence's) once and competes in one of
+   BANDS * ROWS bins; a bin's winner and its quantised weight are the bin's
+   sample. So a heavy shingle takes part in as many bins as its weight asks
+   for, and what two texts share of it are the same replicas. Empty bins
+   borrow from the filled bin that a fixed random order names. ROWS bins are
+   a band.
 3. Texts with the same words are one node from here on. Nodes that share a
    band's value meet in its bucket; each is paired with the bucket's smallest
    node.
@@ -47,14 +51,14 @@ from pyspark.sql import types as T
 
 from proxigraph.llm.common import shield, table, through_files
 from proxigraph.llm.components import components
-from proxigraph.llm.shingles import mix, runs, word_numbers
+from proxigraph.llm.shingles import BASE, mix, runs, word_numbers
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 BINS = BANDS * ROWS
 #: Cells of the table of document frequencies, as a power of two, and the rows a task sends it in.
 CELLS, CHUNK, FAN_IN = 18, 1 << 12, 256
-#: Shingles that are sampled at a time.
+#: Shingles, or replicas, that are handled at a time.
 AT_ONCE = 50_000
 #: With so many shingles, a pair of SIMILARITY has less than AGREE of its samples equal about once in 10 million times.
 MANY, AGREE = 250, 0.6
@@ -146,6 +150,13 @@ def sample(shingles: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int)
     return out
 
 
+def replicas(shingles: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each occurrence of a shingle, the first's being the shingle's own, and the shingles' positions."""
+    at = np.repeat(np.arange(len(shingles)), counts)
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return shingles[at] + nth.astype(np.uint64) * BASE, at
+
+
 def band_values(samples: np.ndarray) -> np.ndarray:
     parts = samples.reshape(len(samples), BANDS, ROWS)
     out = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), parts.shape[:2]).copy()
@@ -171,7 +182,8 @@ def _sign(idf, schema: pa.Schema):
                     owner = np.repeat(np.arange(len(held)), [len(s) for s, _ in held])
                     shingles, counts = (np.concatenate(x) for x in zip(*held, strict=True))
                     weights = counts * table[_cell(shingles)]
-                    samples = sample(shingles, weights, owner, len(held))
+                    units, at = replicas(shingles, counts)
+                    samples = sample(units, table[_cell(shingles)][at], owner[at], len(held))
                     signed.append(band_values(samples))
                     marks.extend(row.tobytes() for row in (samples >> np.uint64(8)).astype(np.uint8))
                     totals.append(np.stack([np.bincount(owner, minlength=len(held)), np.bincount(owner, weights, len(held))], 1))
@@ -182,7 +194,7 @@ def _sign(idf, schema: pa.Schema):
                 shingles, counts, numbers = shingle_counts(text)
                 digests.append(xxhash.xxh3_128_digest(numbers.tobytes()) if len(numbers) else xxhash.xxh3_128_digest(b"text" + (text or "").encode()))
                 held.append((shingles, counts))
-                size += len(shingles)
+                size += len(numbers)
                 if size > AT_ONCE:
                     flush()
                     size = 0

@@ -140,3 +140,28 @@ def test_components(spark, seed):
     got = {r["u"]: r["v"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {x: find(x) for x in parent if find(x) != x}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_heavy_shingles_collide_as_weighted_jaccard():
+    """A few shingles with most of the weight: each counts in as many bins as its weight asks for."""
+    rng, rates = np.random.default_rng(8), []
+    for _ in range(20):
+        shared, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (10, 200, 200))
+        samples = []
+        for own in (a, b):
+            units, at = N.replicas(np.concatenate([shared, own]), np.repeat([200, 1], [10, 200]))
+            samples.append(N.sample(units, np.ones(len(units)), np.zeros(len(at), np.int64), 1))
+        rates.append((samples[0] == samples[1]).mean())
+    assert abs(np.mean(rates) - 2000 / 2400) < 0.04
+
+
+def test_repeated_lines_with_own_text(docs_of):
+    rng = random.Random(12)
+    rows = []
+    for i in range(6):
+        line = prose(rng, 10)
+        rows += [(2 * i + j, " ".join(line * 200 + prose(rng, 100))) for j in (0, 1)]
+    docs = docs_of(rows, 2)
+    want = brute(rows, N.idf_table(docs))
+    assert len({c for _, c in want}) == 6
+    assert sorted((r["doc_id"], r["class_id"]) for r in N.near_duplicates(docs).collect()) == sorted(want)
