@@ -11,13 +11,14 @@
    sample. So a heavy shingle takes part in as many bins as its weight asks
    for, and what two texts share of it are the same replicas. Empty bins
    borrow from the filled bin that a fixed random order names. ROWS bins are
-   a band.
+   a band. The plain set of shingles is sampled alike, each with weight 1,
+   into as many bins and bands of its own.
 3. Texts with the same words are one node from here on. Nodes that share a
    band's value meet in its bucket; each is paired with the bucket's smallest
    node.
 4. Pairs that can't be similar go: by their total weights and counts (a
    bound), and, if both have MANY shingles or more, by far too few equal
-   samples. The others are verified on whole texts: weighted Jaccard
+   samples of both kinds. The others are verified on whole texts: weighted Jaccard
    similarity, or that of the plain sets of shingles, of SIMILARITY or more
    makes a link. Then, round by round, buckets that still hold several
    components are put in the orders of other bands, where nodes that share
@@ -54,7 +55,8 @@ from proxigraph.llm.components import components
 from proxigraph.llm.shingles import BASE, mix, runs, word_numbers
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 25, 5
+#: Bands of a kind of samples; first the weighted ones, then the plain ones.
+BANDS, ROWS, KINDS = 25, 5, 2
 BINS = BANDS * ROWS
 #: Cells of the table of document frequencies, as a power of two, and the rows a task sends it in.
 CELLS, CHUNK, FAN_IN = 18, 1 << 12, 256
@@ -158,8 +160,8 @@ def replicas(shingles: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def band_values(samples: np.ndarray) -> np.ndarray:
-    parts = samples.reshape(len(samples), BANDS, ROWS)
-    out = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), parts.shape[:2]).copy()
+    parts = samples.reshape(len(samples), -1, ROWS)
+    out = np.broadcast_to(np.arange(parts.shape[1], dtype=np.uint64), parts.shape[:2]).copy()
     for i in range(ROWS):
         out = mix(out * np.uint64(SALTS[1]) + parts[:, :, i])
     return out.view(np.int64)
@@ -183,7 +185,8 @@ def _sign(idf, schema: pa.Schema):
                     shingles, counts = (np.concatenate(x) for x in zip(*held, strict=True))
                     weights = counts * table[_cell(shingles)]
                     units, at = replicas(shingles, counts)
-                    samples = sample(units, table[_cell(shingles)][at], owner[at], len(held))
+                    weighted = sample(units, table[_cell(shingles)][at], owner[at], len(held))
+                    samples = np.concatenate([weighted, sample(shingles, np.ones(len(shingles)), owner, len(held))], 1)
                     signed.append(band_values(samples))
                     marks.extend(row.tobytes() for row in (samples >> np.uint64(8)).astype(np.uint8))
                     totals.append(np.stack([np.bincount(owner, minlength=len(held)), np.bincount(owner, weights, len(held))], 1))
@@ -199,8 +202,8 @@ def _sign(idf, schema: pa.Schema):
                     flush()
                     size = 0
             flush()
-            values = np.concatenate(signed) if signed else np.zeros((0, BANDS), np.int64)
-            bands = pa.FixedSizeListArray.from_arrays(pa.array(values.reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
+            values = np.concatenate(signed) if signed else np.zeros((0, KINDS * BANDS), np.int64)
+            bands = pa.FixedSizeListArray.from_arrays(pa.array(values.reshape(-1)), KINDS * BANDS).cast(pa.list_(pa.int64()))
             sums = np.concatenate(totals) if totals else np.zeros((0, 2))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary()), bands, pa.array(marks, pa.binary()), pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1])], schema=schema)
 
@@ -234,19 +237,24 @@ def _verify(idf, least: float):
 
 
 def _may(n: np.ndarray, m: np.ndarray, v: np.ndarray, w: np.ndarray, agree: np.ndarray, least: float) -> np.ndarray:
-    """Pairs that may be similar, by counts n and m, total weights v and w, and equal samples."""
+    """Pairs that may be similar, by counts n and m, total weights v and w, and equal samples of the kind that has more."""
     near = lambda a, b: np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9
     return (near(n, m) | near(v, w)) & ((np.minimum(n, m) < MANY) | (agree >= AGREE))
 
 
 def _matrix(marks: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(marks.to_pylist()), np.uint8).reshape(-1, BINS)
+    """Row, kind, bin."""
+    return np.frombuffer(b"".join(marks.to_pylist()), np.uint8).reshape(len(marks), -1, BINS) if len(marks) else np.zeros((0, KINDS, BINS), np.uint8)
+
+
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a == b).mean(-1).max(-1)
 
 
 def _likely(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            agree = (_matrix(batch["marks_u"]) == _matrix(batch["marks_v"])).mean(1)
+            agree = _agreement(_matrix(batch["marks_u"]), _matrix(batch["marks_v"]))
             yield batch.select(["u", "v"]).filter(pa.array(_may(*(batch[c].to_numpy() for c in ("size_u", "size_v", "weight_u", "weight_v")), agree, least)))
 
     return run
@@ -263,7 +271,7 @@ ORDER = ["band", "value", "turn", "node"]
 
 def _ahead(skip: int) -> Column:
     """The high halves of two bands that follow a row's own."""
-    half = lambda i: F.shiftrightunsigned(F.element_at("bands", (F.col("band") + i) % BANDS + 1), 32)
+    half = lambda i: F.shiftrightunsigned(F.element_at("bands", (F.col("band") + i) % (KINDS * BANDS) + 1), 32)
     return F.shiftleft(half(skip), 32).bitwiseOR(half(skip + 1))
 
 
@@ -279,7 +287,7 @@ def _closest(least: float):
             score, mate = np.zeros((2, len(node))), np.full((2, len(node)), -1)
             for d in range(1, min(REACH, len(node) - 1) + 1):
                 at = np.flatnonzero((band[d:] == band[:-d]) & (value[d:] == value[:-d]) & (kind[d:] != kind[:-d]))
-                agree = (marks[at + d] == marks[at]).mean(1)
+                agree = _agreement(marks[at + d], marks[at])
                 good = _may(size[at + d], size[at], weight[at + d], weight[at], agree, least)
                 for side, mine, other in ((0, at[good] + d, at[good]), (1, at[good], at[good] + d)):
                     better = (agree[good] > score[side, mine]) & (members[mine] <= members[other])
@@ -297,7 +305,7 @@ def _across(buckets: DataFrame, nodes: DataFrame, turn: int, least: float) -> Da
     """buckets with class; nodes: those in buckets."""
     mixed = buckets.groupBy("band", "value").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("band", "value")
     rows = buckets.join(mixed, ["band", "value"]).join(nodes.select("node", "bands", "size", "weight", "marks"), "node")
-    orders = [_ahead((turn * ORDERS + i) * 2 % (BANDS - 1)).alias(f"turn{i}") for i in range(ORDERS)]
+    orders = [_ahead((turn * ORDERS + i) * 2 % (KINDS * BANDS - 1)).alias(f"turn{i}") for i in range(ORDERS)]
     rows = through_files(rows.select("band", "value", "node", "class", "members", "size", "weight", "marks", *orders), "mixed")
 
     def found(i: int) -> DataFrame:

@@ -165,3 +165,15 @@ def test_repeated_lines_with_own_text(docs_of):
     want = brute(rows, N.idf_table(docs))
     assert len({c for _, c in want}) == 6
     assert sorted((r["doc_id"], r["class_id"]) for r in N.near_duplicates(docs).collect()) == sorted(want)
+
+
+def test_plain_similarity_is_enough(docs_of):
+    """A text and the same text pasted twice: alike as sets, not by weight."""
+    rng, rows = random.Random(21), []
+    for i in range(12):
+        text = prose(rng, rng.choice([40, 400]))
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text * 2))]
+    docs = docs_of(rows, 2)
+    want = brute(rows, N.idf_table(docs))
+    assert len({c for _, c in want}) == 12
+    assert sorted((r["doc_id"], r["class_id"]) for r in N.near_duplicates(docs).collect()) == sorted(want)
