@@ -24,9 +24,12 @@
    components are put in the orders of other bands, where nodes that share
    much come to lie close, and each node is paired with the one of most equal
    samples among REACH rows on either side that belong to another component,
-   one of no fewer nodes than its own. The search ends once QUIET rounds in a
+   one of no fewer nodes than its own. The rounds end once QUIET of them in a
    row add no link. Ranges of an order are dealt to tasks, so a bucket may be
-   of any size, and a round's pairs grow in proportion to nodes.
+   of any size, and a round's pairs grow in proportion to nodes. At last all
+   pairs of different components that are left in a bucket go through the
+   same bounds, and what passes is verified: the nodes outside the bucket's
+   main component meet all others in blocks of about BLOCK by BLOCK nodes.
 5. Classes are the connected components; a class's id is its smallest
    doc_id, and that document is the one that is kept.
 
@@ -66,6 +69,8 @@ AT_ONCE = 50_000
 MANY, AGREE = 250, 0.6
 #: Orders of each further round, others that a row is compared with on either side, and rounds without a link that end the search.
 ORDERS, REACH, QUIET = 6, 16, 1
+#: Nodes on a block's side, and pairs that are compared at a time, when the pairs that the rounds leave are searched.
+BLOCK, PAIRS = 256, 8192
 
 
 def shingle_counts(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -315,6 +320,64 @@ def _across(buckets: DataFrame, nodes: DataFrame, turn: int, least: float) -> Da
     return reduce(DataFrame.unionByName, map(found, range(ORDERS))).distinct()
 
 
+def _strangers(least: float):
+    """Rows ordered by block -> pairs of different classes between its left and right rows that may be similar."""
+
+    def pairs(left: np.ndarray, right: np.ndarray, rows: list[np.ndarray]) -> Iterator[np.ndarray]:
+        node, kind, minor, size, weight, marks = rows
+        step = max(1, PAIRS // max(1, len(right)))
+        for i in range(0, len(left), step):
+            a, b = (x.reshape(-1) for x in np.meshgrid(left[i : i + step], right, indexing="ij"))
+            apart = (kind[a] != kind[b]) & (~minor[b] | (node[a] > node[b]))  # two outsiders meet twice
+            a, b = a[apart], b[apart]
+            good = _may(size[a], size[b], weight[a], weight[b], _agreement(marks[a], marks[b]), least)
+            yield np.sort(np.stack([node[a[good]], node[b[good]]]), 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+
+        def searched(keys: np.ndarray, rest: list[np.ndarray]) -> pa.RecordBatch:
+            bounds = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(keys)]
+            found = [np.zeros((2, 0), np.int64)]
+            for start, end in zip(bounds[:-1], bounds[1:], strict=True):
+                at = np.arange(start, end)
+                is_left = rest[0][at]
+                found += pairs(at[is_left], at[~is_left], rest[1:])
+            u = np.unique(np.concatenate(found, 1), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(u[1], pa.int64()), pa.array(u[0], pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            keys = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("band", "value", "a", "b")], 1)
+            rows = [keys, *(batch[c].to_numpy(zero_copy_only=False) for c in ("left", "node", "class", "minor", "size", "weight")), _matrix(batch["marks"])]
+            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            # The last block may go on in the next batch.
+            done = int(np.flatnonzero((rows[0] != rows[0][-1]).any(1)).max(initial=-1)) + 1 if len(rows[0]) else 0
+            held = [x[done:] for x in rows]
+            if done:
+                yield searched(rows[0][:done], [x[:done] for x in rows[1:]])
+        if held is not None and len(held[0]):
+            yield searched(held[0], held[1:])
+
+    return run
+
+
+def _left_over(buckets: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """buckets with class; nodes: those in buckets. All pairs of different classes in a bucket that may be similar."""
+    counts = buckets.groupBy("band", "value", "class").agg(F.count(F.lit(1)).alias("c"))
+    mixed = counts.groupBy("band", "value").agg(F.max(F.struct("c", "class")).alias("main"), F.sum("c").alias("all")).where("all > main.c")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.select("band", "value", F.col("main.class").alias("main"), blocks(F.col("all") - F.col("main.c")).alias("few"), blocks(F.col("all")).alias("many"))
+    rows = buckets.join(mixed, ["band", "value"]).join(nodes.select("node", "size", "weight", "marks"), "node").withColumn("minor", F.col("class") != F.col("main"))
+    rows = through_files(rows, "mixed")
+    part = lambda n: F.pmod(F.xxhash64("node", "band"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where("minor").withColumn("a", part(F.col("few"))).withColumn("b", every("many")).withColumn("left", F.lit(True))
+    right = rows.withColumn("b", part(F.col("many"))).withColumn("a", every("few")).withColumn("left", F.lit(False))
+    key = ["band", "value", "a", "b"]
+    both = left.unionByName(right).select(*key, "left", "node", "class", "minor", "size", "weight", "marks")
+    return both.repartition(*key).sortWithinPartitions(*key).mapInArrow(_strangers(least), "u long, v long").distinct()
+
+
 def _classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """node, class and the class's number of members, for all nodes."""
     found = components(links)
@@ -365,6 +428,9 @@ def find_classes(documents: DataFrame, least: float = SIMILARITY) -> tuple[DataF
             continue
         links, quiet = links.unionByName(more), 0
         classes = through_files(_classes(nodes, links), "classes")
+    more = verified(through_files(_left_over(buckets.join(classes, "node"), bucketed, least).join(pairs, ["u", "v"], "left_anti"), "pairs"))
+    if more.limit(1).count():
+        classes = through_files(_classes(nodes, links.unionByName(more)), "classes")
     named = nodes.select("_digest", "node", "rank").join(classes, "node")
     firsts = named.groupBy("class").agg(F.min("rank").alias("first"))
     return signed, named.join(firsts, "class").select("_digest", F.col("first.id").alias("_class"), F.col("first.row").alias("_first"))

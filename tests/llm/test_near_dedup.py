@@ -177,3 +177,30 @@ def test_plain_similarity_is_enough(docs_of):
     want = brute(rows, N.idf_table(docs))
     assert len({c for _, c in want}) == 12
     assert sorted((r["doc_id"], r["class_id"]) for r in N.near_duplicates(docs).collect()) == sorted(want)
+
+
+def test_twins_among_texts_of_one_template(docs_of, monkeypatch):
+    """Whatever the rounds leave is found all the same, over several blocks: here there are no rounds."""
+    monkeypatch.setattr(N, "QUIET", 0)
+    monkeypatch.setattr(N, "BLOCK", 16, raising=False)
+    rng, rows = random.Random(41), []
+    template = prose(rng, 190)
+    for i in range(120):
+        text = template + prose(rng, 36)
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text[:-12] + prose(rng, 12)))]
+    docs = docs_of(rows, 3)
+    want = brute(rows, N.idf_table(docs))
+    assert 100 < len({c for _, c in want}) < 200
+    assert sorted((r["doc_id"], r["class_id"]) for r in N.near_duplicates(docs).collect()) == sorted(want)
+
+
+def test_left_over_pairs_are_all_found(spark, monkeypatch):
+    """All strangers in a bucket meet, once, over blocks and batches; too different ones are left out."""
+    monkeypatch.setattr(N, "BLOCK", 8)
+    rng = random.Random(6)
+    kind = {n: n if rng.random() < 0.5 else 0 for n in range(60)}
+    buckets = spark.createDataFrame([(band, 7, n, kind[n]) for n in kind for band in (1, 2) if band == 1 or n % 3 == 0], "band int, value long, node long, class long")
+    size = {n: 100 if n % 5 else 300 for n in kind}
+    nodes = spark.createDataFrame([(n, size[n], float(size[n]), bytes(N.KINDS * N.BINS)) for n in kind], "node long, size long, weight double, marks binary")
+    want = [(u, v) for u in kind for v in range(u) if kind[u] != kind[v] and size[u] == size[v]]
+    assert sorted(map(tuple, N._left_over(buckets, nodes, 0.8).collect())) == sorted(want)
