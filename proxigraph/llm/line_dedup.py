@@ -22,8 +22,10 @@ Defined results: null text is empty. Lines end at ``\\n``; those with fewer
 than MIN_TOKENS tokens are kept always. A line of mostly variable tokens is
 its own template, so rows of numbers don't match each other. Repeats within
 a document are no recurrence. Rows that share a doc_id count as one
-document as to who keeps a line; a null doc_id comes after all others. A
-document that loses all its lines stays, with empty text.
+document as to who keeps a line, but each loses only its own lines; a null
+doc_id (and 2^63 - 1) comes after all others, and each row with it is a
+document of its own, the first row first. A document that loses all its
+lines stays, with empty text. Rows are numbered in a written table.
 """
 
 from __future__ import annotations
@@ -36,14 +38,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proxigraph.llm.common import shield, table
+from proxigraph.llm.common import shield, table, through_files
 
 LEAD, SEGMENTS, MIN_TOKENS, MIN_GENERAL, MIN_DOCS = 2, 3, 3, 8, 2
 WILDCARD = b"<*>"
 #: Joins tokens; no token holds it, as it is white space to bytes.split.
 GLUE = b" "
 _variable = re.compile(rb"[0-9@]|://").search
-KEY_SCHEMA = "k1 long, k2 int, doc long"
+KEY_SCHEMA = "k1 long, k2 int, doc long, row long"
 LINE_SCHEMA = KEY_SCHEMA + ", line int"
 LAST = 2**63 - 1
 
@@ -76,19 +78,20 @@ def _keys(with_lines: bool):
         for batch in batches:
             keys: list[bytes] = []
             docs: list[int] = []
+            numbers: list[int] = []
             lines: list[int] = []
 
             def flush() -> pa.RecordBatch:
                 whole = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
-                cols = [pa.array(whole[:, 0].astype("<i8")), pa.array((whole[:, 1] & np.uint64(0xFFFFFFFF)).astype("<u4").view("<i4")), pa.array(docs, pa.int64())]
-                names = ["k1", "k2", "doc"]
+                cols = [pa.array(whole[:, 0].astype("<i8")), pa.array((whole[:, 1] & np.uint64(0xFFFFFFFF)).astype("<u4").view("<i4")), pa.array(docs, pa.int64()), pa.array(numbers, pa.int64())]
+                names = ["k1", "k2", "doc", "row"]
                 if with_lines:
                     cols, names = [*cols, pa.array(lines, pa.int32())], [*names, "line"]
-                for c in (keys, docs, lines):
+                for c in (keys, docs, numbers, lines):
                     c.clear()
                 return pa.RecordBatch.from_arrays(cols, names)
 
-            for doc, text in zip(batch["doc"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for doc, row, text in zip(*(batch[c].to_pylist() for c in ("doc", "row", "text")), strict=True):
                 seen: set[bytes] = set()
                 for i, line in enumerate((text or "").encode().split(b"\n")):
                     found = [digest(t) for t in templates(line)]
@@ -96,11 +99,13 @@ def _keys(with_lines: bool):
                         keys += found
                         lines += [i] * len(found)
                         docs += [doc] * len(found)
+                        numbers += [row] * len(found)
                     else:
                         seen.update(found)
                 if seen:
                     keys += seen
                     docs += [doc] * len(seen)
+                    numbers += [row if doc == LAST else -1] * len(seen)  # of others the id says it all
                 if len(keys) > 50_000:
                     yield flush()
             yield flush()
@@ -113,24 +118,27 @@ def _order(doc_id: Column) -> Column:
 
 
 def dropped_lines(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """documents: doc_id, text. Returns doc and lines: numbers (from 0) of the lines to drop; one row a document that has any."""
-    rows = documents.select(_order(F.col("doc_id")).alias("doc"), "text")
-    known = rows.mapInArrow(_keys(False), KEY_SCHEMA).groupBy("k1", "k2").agg(F.min("doc").alias("owner"), F.count(F.lit(1)).alias("n"))
-    recurring = known.where((F.col("n") >= min_docs)).select("k1", "k2", "owner")
+    """documents: doc_id, text, _row (its number, the same each time it is read). Returns row and lines: numbers (from 0) of the lines to drop; one row a row that has any."""
+    rows = documents.select(_order(F.col("doc_id")).alias("doc"), F.col("_row").alias("row"), "text")
+    # Two documents are told apart by the owner alone.
+    count = F.count(F.lit(1)) if min_docs <= 2 else F.count_distinct("doc", "row")
+    known = rows.mapInArrow(_keys(False), KEY_SCHEMA).groupBy("k1", "k2").agg(F.min("doc").alias("owner"), F.min("row").alias("first"), count.alias("n"))
+    recurring = known.where(F.col("n") >= min_docs).select("k1", "k2", "owner", "first")
     lines = rows.mapInArrow(_keys(True), LINE_SCHEMA)
-    hits = lines.join(recurring, ["k1", "k2"]).where(F.col("doc") > F.col("owner"))
-    return hits.groupBy("doc").agg(F.collect_set("line").alias("lines"))
+    # If a row without id is the owner, all rows that have the template are without.
+    later = (F.col("doc") > F.col("owner")) | ((F.col("doc") == LAST) & (F.col("owner") == LAST) & (F.col("row") > F.col("first")))
+    return lines.join(recurring, ["k1", "k2"]).where(later).groupBy("row").agg(F.collect_set("line").alias("lines"))
 
 
 def dedup_lines(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id and text, less its dropped lines, and other columns of documents; adds n_lines and n_dropped, in place of columns of these names."""
     documents = documents.drop("n_lines", "n_dropped")
-    drops = dropped_lines(documents, min_docs).select(F.col("doc").alias("_doc"), F.col("lines").alias("_lines"))
-    joined = documents.withColumn("_order", _order(F.col("doc_id"))).join(drops, F.col("_order") == F.col("_doc"), "left")
+    numbered = through_files(documents.withColumn("_row", F.monotonically_increasing_id()), "line-rows")
+    drops = dropped_lines(numbered, min_docs).select(F.col("row").alias("_of"), F.col("lines").alias("_lines"))
+    joined = numbered.join(drops, F.col("_row") == F.col("_of"), "left")
     parts = joined.withColumn("_parts", F.split(F.coalesce("text", F.lit("")), "\n", -1))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_lines")), lambda i: F.element_at("_parts", i + 1))
     text = F.when(F.col("_lines").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(left, "\n"))
-    # Rows that share a doc_id may have fewer lines than the longest of them.
     gone = F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(F.size("_parts") - F.size(left))
     return parts.select(*[text.alias("text") if c == "text" else F.col(c) for c in documents.columns], F.size("_parts").alias("n_lines"), gone.alias("n_dropped"))
 

@@ -63,3 +63,17 @@ def test_stage_keeps_columns(docs_of):
     out = L.deduplicated(docs)
     assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()} == {1: ("a line of words\nother words in this", 35), 2: ("", 0)}
+
+
+def test_rows_lose_only_their_own_lines(docs_of):
+    """Rows that share a doc_id, or have none, keep what other rows of that id lose; lines recur among rows without id too."""
+    shared, own = "a line that many share", [f"the only {w} line here" for w in ("red", "green", "blue", "grey")]
+    rows = [(1, shared), (None, f"{shared}\n{own[0]}"), (None, f"{own[1]}\n{shared}"), (5, f"{shared}\n{own[2]}"), (5, f"{own[3]}\n{shared}"), (None, "seen without any id"), (None, "seen without any id")]
+    got = sorted(tuple(r) for r in L.dedup_lines(docs_of(rows, 3)).select("text", "n_lines", "n_dropped").collect())
+    assert got == sorted([(shared, 1, 0), *[(t, 2, 1) for t in own], ("seen without any id", 1, 0), ("", 1, 1)])
+
+
+def test_least_number_of_documents_counts_ids(docs_of):
+    rows = [(1, "one and the same line"), (1, "one and the same line"), (2, "one and the same line")]
+    assert sum(r["n_dropped"] for r in L.dedup_lines(docs_of(rows), 3).collect()) == 0
+    assert sum(r["n_dropped"] for r in L.dedup_lines(docs_of([*rows, (None, "one and the same line")]), 3).collect()) == 2
