@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from proxigraph.llm.common import table, worker_state
 
 DIMENSIONS = 1024
+#: The pipeline's, where unrelated texts' cosines spread by about 0.01, and those of n-grams' vectors that are made at a time.
+STAGE_DIMENSIONS, AT_ONCE = 10_240, 1024
 SEED = 20_260
 #: Characters and documents that are counted at a time.
 CHARS, DOCS = 300_000, 128
@@ -49,10 +51,16 @@ def letter_vector(code: int, dimensions: int) -> np.ndarray:
     return cache[code, dimensions]
 
 
-def ngram_vectors(letters: np.ndarray, trigrams: np.ndarray, dimensions: int) -> np.ndarray:
-    """letters: code points by local number; trigrams: rows of three local numbers."""
+def ngram_vectors(letters: np.ndarray, trigrams: np.ndarray, dimensions: int, part: slice = slice(None)) -> np.ndarray:
+    """letters: code points by local number; trigrams: rows of three local numbers; part: the dimensions that are wanted."""
     v = np.array([letter_vector(int(c), dimensions) for c in letters], np.int8).reshape(-1, dimensions)
-    return np.roll(v, 2, 1)[trigrams[:, 0]] * v[trigrams[:, 1]] * np.roll(v, 1, 1)[trigrams[:, 2]]
+    return np.roll(v, 2, 1)[:, part][trigrams[:, 0]] * v[:, part][trigrams[:, 1]] * np.roll(v, 1, 1)[:, part][trigrams[:, 2]]
+
+
+def bundled(counts: np.ndarray, letters: np.ndarray, trigrams: np.ndarray, dimensions: int) -> np.ndarray:
+    """Rows of counts times the n-grams' vectors, of which AT_ONCE dimensions are held at a time."""
+    parts = (slice(i, i + AT_ONCE) for i in range(0, dimensions, AT_ONCE))
+    return np.concatenate([counts @ ngram_vectors(letters, trigrams, dimensions, p).astype(counts.dtype) for p in parts], 1)
 
 
 def count_ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,7 +124,7 @@ def _bundles(dimensions: int):
                 own = np.array([langs[i] for i in at], object)
                 names = sorted(set(own))
                 by_lang = np.array([counts[own == n].sum(0) for n in names], np.float64)
-                for name, bundle in zip(names, by_lang @ ngram_vectors(letters, trigrams, dimensions).astype(np.float64), strict=True):
+                for name, bundle in zip(names, bundled(by_lang, letters, trigrams, dimensions), strict=True):
                     sums[name] = sums.get(name, 0) + bundle.astype(np.int64)
         part = TaskContext.get().partitionId() % FAN_IN
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([part] * len(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.int64()))], ["lang", "part", "bundle"])
@@ -148,12 +156,14 @@ def _predict(names: list[str], prototypes: np.ndarray, dimensions: int):
             for at, group in pieces(texts):
                 counts, letters, trigrams = count_ngrams(group)
                 if len(trigrams):
-                    np.add.at(bundles, at, counts.astype(np.float32) @ ngram_vectors(letters, trigrams, dimensions).astype(np.float32))
+                    np.add.at(bundles, at, bundled(counts.astype(np.float32), letters, trigrams, dimensions))
                     np.logical_or.at(lettered, at, counts.any(1))
             best, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             if names:
-                wide = bundles.astype(np.float64)
-                cosines = wide @ units.T / np.maximum(np.linalg.norm(wide, axis=1, keepdims=True), 1e-12)
+                cosines = np.zeros((len(texts), len(names)))
+                for i in range(0, len(texts), DOCS):
+                    wide = bundles[i : i + DOCS].astype(np.float64)
+                    cosines[i : i + DOCS] = wide @ units.T / np.maximum(np.linalg.norm(wide, axis=1, keepdims=True), 1e-12)
                 first = cosines.argmax(1)
                 best[lettered] = np.array(names, object)[first[lettered]]
                 score[lettered] = np.clip(cosines[np.arange(len(texts)), first], 0, 1)[lettered]
@@ -186,10 +196,10 @@ def accepted(documents: DataFrame) -> DataFrame:
     The text goes through the workers with its row, so that repeated or null doc_ids need no join.
     """
     labelled = documents.where(~held_out(F.col("doc_id")))
-    prototypes = learn(labelled)
+    prototypes = learn(labelled, STAGE_DIMENSIONS)
     names = sorted(prototypes)
-    matrix = np.array([prototypes[n] for n in names], np.int64).reshape(len(names), DIMENSIONS)
-    judge = _predict(names, matrix, DIMENSIONS)
+    matrix = np.array([prototypes[n] for n in names], np.int64).reshape(len(names), STAGE_DIMENSIONS)
+    judge = _predict(names, matrix, STAGE_DIMENSIONS)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

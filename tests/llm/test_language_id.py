@@ -71,3 +71,21 @@ def test_stage_keeps_rows_and_columns(docs_of):
     kept = L.accepted(docs)
     assert kept.schema == docs.schema
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted([*range(10), 3])
+
+
+def test_stage_rejects_foreign_scripts_and_keeps_short_texts(spark):
+    import random
+
+    rng, docs = random.Random(3), table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
+    texts = {}
+    for i in range(120):
+        start = rng.choice([0x3B1, 0x430, 0x561, 0x5D0, 0x905, 0xE01, 0x10D0, 0x1200, 0x3041, 0x4E00])
+        letters = [chr(start + j) for j in range(24)]
+        texts[10**6 + i] = " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(300))
+    common = docs.where("lang = 'en' AND text IS NOT NULL").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("length(w) > 3").groupBy("w").count().orderBy(F.desc("count"), "w").limit(20)
+    words = [r["w"] for r in common.collect()]
+    short = {2 * 10**6 + i: " ".join(words[i : i + 3]) for i in range(len(words) - 2)}
+    extra = spark.createDataFrame([(i, t, None) for i, t in (texts | short).items()], docs.schema)
+    kept = {r["doc_id"] for r in L.accepted(docs.unionByName(extra)).select("doc_id").collect()}
+    assert not kept & set(texts)
+    assert set(short) <= kept
