@@ -21,7 +21,6 @@ result is empty if no pair reaches the threshold.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,42 +29,73 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proxigraph.llm.common import shield, table, through_files
-from proxigraph.llm.shingles import runs, word_numbers
+from proxigraph.llm.shingles import distinct, grouped, numbers_of, runs, runs_by_text, word_numbers
 
 SEED, COVERAGE = 5, 0.5
 #: Bits of the bitmap, as a power of two: 4 MB.
 BITS = 25
+#: Seed matches that are looked at, and characters whose words are numbered, at a time.
+AT_ONCE, CHARS = 1 << 20, 300_000
 PAIR_SCHEMA = "doc_id long, item_id long, coverage double, n_tiles int, longest int, item_words int"
 
 
-def tile(document: np.ndarray, item: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
-    """Greedy tiles (place in item, place in document, words), longest first, then by place."""
+def _common_runs(document: np.ndarray, item: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal common runs of ``least`` words or more: place in item, place in document, words.
+
+    The document is read AT_ONCE / item words at a time; a run that goes on in the next part is joined afterwards.
+    """
     own, other = runs(item, least), runs(document, least)
     order = np.argsort(own, kind="stable")
-    at = np.flatnonzero(np.isin(other, own))
-    first, last = np.searchsorted(own[order], other[at], "left"), np.searchsorted(own[order], other[at], "right")
-    many = last - first
-    j = np.repeat(at, many)
-    i = order[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)] if len(at) else np.zeros(0, np.int64)
+    own = own[order]
+    parts = [np.zeros((3, 0), np.int64)]
+    step = max(1, AT_ONCE // max(1, len(item)))
+    for start in range(0, len(other), step):
+        at = other[start : start + step]
+        first = np.searchsorted(own, at, "left")
+        many = np.searchsorted(own, at, "right") - first
+        j = np.repeat(np.arange(start, start + len(at)), many)
+        i = order[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)]
+        by_diagonal = np.lexsort((i, j - i))
+        i, j = i[by_diagonal], j[by_diagonal]
+        new = np.ones(len(i), bool)
+        new[1:] = (np.diff(i) != 1) | (np.diff(j) != 1)
+        at = np.flatnonzero(new)
+        parts.append(np.stack([i[at], j[at], np.diff(at, append=len(i))]))
+    i, j, n = np.concatenate(parts, 1)
     by_diagonal = np.lexsort((i, j - i))
-    i, j = i[by_diagonal], j[by_diagonal]
-    starts = np.flatnonzero(np.diff(i, prepend=-9) != 1) if len(i) else np.zeros(0, np.int64)
-    starts = np.union1d(starts, np.flatnonzero(np.diff(j - i, prepend=0) != 0)) if len(i) else starts
-    lengths = np.diff(np.append(starts, len(i))) + least - 1
-    queue = [(-int(n), int(i[s]), int(j[s])) for s, n in zip(starts, lengths, strict=True)]
-    heapq.heapify(queue)
-    mine, theirs, tiles = np.zeros(len(item), bool), np.zeros(len(document), bool), []
-    while queue:
-        n, a, b = heapq.heappop(queue)
-        taken = mine[a : a - n] | theirs[b : b - n]
-        if not taken.any():
-            mine[a : a - n] = theirs[b : b - n] = True
-            tiles.append((a, b, -n))
+    i, j, n = i[by_diagonal], j[by_diagonal], n[by_diagonal]
+    new = np.ones(len(i), bool)
+    new[1:] = (i[1:] != (i + n)[:-1]) | (j[1:] != (j + n)[:-1])
+    at = np.flatnonzero(new)
+    return i[at], j[at], (np.add.reduceat(n, at) if len(at) else n) + least - 1
+
+
+def _cut(i: np.ndarray, j: np.ndarray, n: np.ndarray, at: np.ndarray, size: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What is left of runs before and after a stretch of ``size`` words that begins ``at`` words after them, if ``least`` words or more."""
+    before = np.clip(at, 0, n)
+    skip = np.clip(at + size, 0, n)
+    left, right = before >= least, n - skip >= least
+    # A stretch that misses a run leaves all of it, on one side.
+    return tuple(np.concatenate(x) for x in ((i[left], (i + skip)[right]), (j[left], (j + skip)[right]), (before[left], (n - skip)[right])))
+
+
+def tile(document: np.ndarray, item: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
+    """Greedy tiles (place in item, place in document, words), longest first, then by place.
+
+    Memory is some 100 bytes a common run; an item has at most len(item) / least tiles.
+    """
+    i, j, n = _common_runs(document, item, least)
+    tiles = []
+    while len(n):
+        best = np.flatnonzero(n == n.max())
+        best = best[np.lexsort((j[best], i[best]))[0]]
+        a, b, size = int(i[best]), int(j[best]), int(n[best])
+        if not np.array_equal(item[a : a + size], document[b : b + size]):
+            n[best] = 0  # equal numbers of different words
             continue
-        edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]])))
-        for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            if e - s >= least:
-                heapq.heappush(queue, (s - e, a + s, b + s))
+        tiles.append((a, b, size))
+        i, j, n = _cut(i, j, n, a - i, size, least)
+        i, j, n = _cut(i, j, n, b - j, size, least)
     return tiles
 
 
@@ -88,14 +118,17 @@ def _suspects(bitmap, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
         for batch in batches:
-            keep, seeds = [], []
-            for i, text in enumerate(batch["text"].to_pylist()):
-                found = runs(word_numbers(text), SEED)
+            keep, seeds, at = [], [], 0
+            for texts in grouped(batch["text"].to_pylist(), CHARS):
+                found, per = runs_by_text(*numbers_of(texts), SEED)
                 one, two = _bits(found)
-                found = np.unique(found[((bits[one >> 3] >> (one & 7)) & (bits[two >> 3] >> (two & 7)) & 1).astype(bool)])
-                if len(found):
-                    keep.append(i)
-                    seeds.append(found.view(np.int64))
+                hit = ((bits[one >> 3] >> (one & 7)) & (bits[two >> 3] >> (two & 7)) & 1).astype(bool)
+                ends = np.cumsum(per)
+                per = np.diff(np.searchsorted(np.flatnonzero(hit), ends), prepend=0)
+                found, _, per = distinct(found[hit], per)
+                keep += (np.flatnonzero(per) + at).tolist()
+                seeds += [x.view(np.int64) for x in np.split(found, np.cumsum(per)[:-1]) if len(x)]
+                at += len(texts)
             part = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(seeds, pa.list_(pa.int64()))], [*names, "seeds"])
 

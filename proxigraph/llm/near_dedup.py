@@ -14,48 +14,50 @@
    a band. The plain set of shingles is sampled alike, each with weight 1,
    into as many bins and bands of its own.
 3. Texts with the same words are one node from here on. Nodes that share a
-   band's value meet in its bucket; each is paired with the bucket's smallest
-   node.
+   band's value meet in its bucket; each is paired with the bucket's hub, the
+   node that meets most others over all its buckets (of a group of copies,
+   most likely the one they were made from).
 4. Pairs that can't be similar go: by their total weights and counts (a
-   bound), and, if both have MANY shingles or more, by far too few equal
-   samples of both kinds. The others are verified on whole texts: weighted Jaccard
-   similarity, or that of the plain sets of shingles, of SIMILARITY or more
-   makes a link. Then, round by round, buckets that still hold several
-   components are put in the orders of other bands, where nodes that share
-   much come to lie close, and each node is paired with the one of most equal
-   samples among REACH rows on either side that belong to another component,
-   one of no fewer nodes than its own. The rounds end once QUIET of them in a
-   row add no link. Ranges of an order are dealt to tasks, so a bucket may be
-   of any size, and a round's pairs grow in proportion to nodes. At last all
-   pairs of different components that are left in a bucket go through the
-   same bounds, and what passes is verified: the nodes outside the bucket's
-   main component meet all others in blocks of about BLOCK by BLOCK nodes.
-5. Classes are the connected components; a class's id is its smallest
+   bound), and by far too few equal samples of both kinds. The others are
+   verified on whole texts: weighted Jaccard similarity, or that of the plain
+   sets of shingles, of SIMILARITY or more makes a link.
+5. Buckets that then hold several components are searched wholly. A shingle
+   that only one component has there can't be shared with another one: a node
+   outside its buckets' main components whose own shingles of that kind are
+   too many for SIMILARITY has no further link, which is exact. The others
+   meet all of their buckets' other components in blocks of about BLOCK by
+   BLOCK nodes; what no bound and no count of equal samples excludes is
+   verified. So a group of copies, each edited in places of its own, costs one
+   pass over its shingles and not the square of its size.
+6. Classes are the connected components; a class's id is its smallest
    doc_id, and that document is the one that is kept.
 
-Only the table of frequencies (fixed size) is broadcast by this module.
+Two texts of similarity 0.8 miss all bands of a kind about 5 times in 100,000,
+and the test of equal samples about once in 10 million; no number of partners,
+candidates or rounds is limited. Only the table of frequencies (fixed size) is broadcast
+by this module.
 
 Defined results: words are runs of letters, digits and underscores in lower
 case. A text of fewer than SHINGLE words is a single shingle of all of them;
-texts without words are alike only if equal (null counts as empty). A null
-doc_id comes last; of repeated rows one is kept. An empty table gives an
-empty result.
+texts without words are alike only if equal (null counts as empty). Very long
+texts are sampled in pieces and verified whole. A null doc_id comes last; of
+repeated rows one is kept. Other columns are ignored, in the pipeline's stage
+kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proxigraph.llm.common import shield, table, through_files
 from proxigraph.llm.components import components
-from proxigraph.llm.shingles import BASE, mix, runs, word_numbers
+from proxigraph.llm.shingles import BASE, grouped, mix, shingles_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of a kind of samples; first the weighted ones, then the plain ones.
@@ -63,21 +65,17 @@ BANDS, ROWS, KINDS = 25, 5, 2
 BINS = BANDS * ROWS
 #: Cells of the table of document frequencies, as a power of two, and the rows a task sends it in.
 CELLS, CHUNK, FAN_IN = 18, 1 << 12, 256
-#: Shingles, or replicas, that are handled at a time.
-AT_ONCE = 50_000
-#: With so many shingles, a pair of SIMILARITY has less than AGREE of its samples equal about once in 10 million times.
-MANY, AGREE = 250, 0.6
-#: Orders of each further round, others that a row is compared with on either side, and rounds without a link that end the search.
-ORDERS, REACH, QUIET = 6, 16, 1
-#: Nodes on a block's side, and pairs that are compared at a time, when the pairs that the rounds leave are searched.
+#: Replicas that are sampled, and characters whose shingles are found, at a time.
+AT_ONCE, CHARS = 50_000, 300_000
+#: How far the share of equal samples of a pair of SIMILARITY may lie below it, in standard deviations.
+DEVIATIONS = 5.3
+#: Nodes on a block's side, and pairs that are compared at a time.
 BLOCK, PAIRS = 256, 8192
 
 
-def shingle_counts(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles, their counts, and the words' numbers."""
-    numbers = word_numbers(text)
-    found, n = np.unique(runs(numbers, min(SHINGLE, max(1, len(numbers)))), return_counts=True)
-    return found, n, numbers
+def shingle_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles text by text, their counts, shingles of each text; all words' numbers, words of each text."""
+    return shingles_of(texts, SHINGLE)
 
 
 def _cell(shingles: np.ndarray) -> np.ndarray:
@@ -87,16 +85,11 @@ def _cell(shingles: np.ndarray) -> np.ndarray:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    cells, docs, held, size = np.zeros(1 << CELLS, np.int64), 0, [np.zeros(0, np.int64)], 0
+    cells, docs = np.zeros(1 << CELLS, np.int64), 0
     for batch in batches:
-        for text in batch["text"].to_pylist():
-            docs += 1
-            held.append(_cell(shingle_counts(text)[0]))
-            size += len(held[-1])
-            if size > AT_ONCE:
-                cells += np.bincount(np.concatenate(held), minlength=1 << CELLS)
-                held, size = [np.zeros(0, np.int64)], 0
-    cells += np.bincount(np.concatenate(held), minlength=1 << CELLS)
+        for texts in grouped(batch["text"].to_pylist(), CHARS):
+            docs += len(texts)
+            cells += np.bincount(_cell(shingle_counts(texts)[0]), minlength=1 << CELLS)
     if docs:
         n = (1 << CELLS) // CHUNK
         data = [cells[i * CHUNK : (i + 1) * CHUNK].astype("<i8").tobytes() for i in range(n)]
@@ -132,28 +125,35 @@ def _unit(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 SALTS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377, 0xBE5466CF34E90C6C)
-BORROW = np.random.default_rng(377).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1).astype(np.float32)
+BORROW = np.random.default_rng(377).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1)
 
 
-def sample(shingles: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """n rows of BINS samples; 0 marks an empty bin (rows without any shingle only)."""
+def draws(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a shingle's sample depends on besides its weight: r, log c, beta and its bin."""
     r = -np.log(_unit(shingles, SALTS[0]) * _unit(shingles, SALTS[1]))
-    c = -np.log(_unit(shingles, SALTS[2]) * _unit(shingles, SALTS[3]))
-    beta = _unit(shingles, SALTS[4])
+    c = np.log(-np.log(_unit(shingles, SALTS[2]) * _unit(shingles, SALTS[3])))
+    return r, c, _unit(shingles, SALTS[4]), (mix(shingles ^ np.uint64(SALTS[5])) % np.uint64(BINS)).astype(np.int64)
+
+
+def sample(shingles: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, drawn: tuple | None = None) -> np.ndarray:
+    """n rows of BINS samples; 0 marks an empty bin (rows without any shingle only)."""
+    r, c, beta, bins = drawn or draws(shingles)
     t = np.floor(np.log(weights) / r + beta)
-    cost = np.log(c) - r * (t - beta) - r
-    slot = owner * BINS + (mix(shingles ^ np.uint64(SALTS[5])) % np.uint64(BINS)).astype(np.int64)
-    order = np.argsort(cost)[::-1]  # the cheapest is written last
-    winner = np.full(n * BINS, -1, np.int64)
-    winner[slot[order]] = order
-    filled = winner >= 0
+    cost = c - r * (t - beta) - r
+    slot = owner * BINS + bins
+    cheapest = np.full(n * BINS, np.inf)
+    np.minimum.at(cheapest, slot, cost)
+    won = np.flatnonzero(cost == cheapest[slot])
     out = np.zeros(n * BINS, np.uint64)
-    won = winner[filled]
-    out[filled] = mix(shingles[won] + t[won].astype(np.int64).astype(np.uint64) * np.uint64(SALTS[0])) | np.uint64(1)
-    out, filled = out.reshape(n, BINS), filled.reshape(n, BINS)
-    for row in np.flatnonzero(filled.any(1) & ~filled.all(1)):
-        empty = np.flatnonzero(~filled[row])
-        out[row, empty] = out[row, np.where(filled[row], BORROW[empty], np.inf).argmin(1)]
+    out[slot[won]] = mix(shingles[won] + t[won].astype(np.int64).astype(np.uint64) * np.uint64(SALTS[0])) | np.uint64(1)
+    out, filled = out.reshape(n, BINS), np.isfinite(cheapest).reshape(n, BINS)
+    row, empty = np.nonzero(filled.any(1)[:, None] & ~filled)
+    turn = 0
+    while len(row):
+        lender = BORROW[empty, turn]
+        good = filled[row, lender]
+        out[row[good], empty[good]] = out[row[good], lender[good]]
+        row, empty, turn = row[~good], empty[~good], turn + 1
     return out
 
 
@@ -172,45 +172,70 @@ def band_values(samples: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def signatures(texts: list[str | None], table: np.ndarray) -> tuple[list[bytes], np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """Of each text: a digest of its words, band values, samples' last bytes, number of shingles and their weight."""
+    import xxhash
+
+    shingles, counts, per, numbers, words = shingle_counts(texts)
+    ends = np.cumsum(words).tolist()
+    data = memoryview(numbers.tobytes())
+    digests = [xxhash.xxh3_128_digest(data[8 * (e - n) : 8 * e]) if n else xxhash.xxh3_128_digest(b"text" + (text or "").encode()) for text, e, n in zip(texts, ends, words.tolist(), strict=True)]
+    owner = np.repeat(np.arange(len(texts)), per)
+    weights = table[_cell(shingles)]
+    totals = np.bincount(owner, counts * weights, len(texts))
+    samples = np.zeros((len(texts), KINDS, BINS), np.uint64)
+    if len(texts) == 1 and counts.sum() > AT_ONCE:
+        samples[0] = _long_sample(shingles, counts, weights)
+    else:
+        units, at = replicas(shingles, counts)
+        drawn = draws(units)
+        samples[:, 0] = sample(units, weights[at], owner[at], len(texts), drawn)
+        first = np.cumsum(counts) - counts
+        samples[:, 1] = sample(shingles, np.ones(len(shingles)), owner, len(texts), tuple(x[first] for x in drawn))
+    samples = samples.reshape(len(texts), KINDS * BINS)
+    return digests, band_values(samples), [row.tobytes() for row in (samples >> np.uint64(8)).astype(np.uint8)], per, totals
+
+
+def _long_sample(shingles: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Samples of one long text, of which about AT_ONCE replicas are held at a time; every bin of it is filled but by ill luck."""
+    best, out = np.full((KINDS, BINS), np.inf), np.zeros((KINDS, BINS), np.uint64)
+
+    def compete(kind: int, units: np.ndarray, weight: np.ndarray) -> None:
+        r, c, beta, bins = draws(units)
+        t = np.floor(np.log(weight) / r + beta)
+        cost = c - r * (t - beta) - r
+        cheapest = np.full(BINS, np.inf)
+        np.minimum.at(cheapest, bins, cost)
+        won = np.flatnonzero((cost == cheapest[bins]) & (cost < best[kind, bins]))
+        out[kind, bins[won]] = mix(units[won] + t[won].astype(np.int64).astype(np.uint64) * np.uint64(SALTS[0])) | np.uint64(1)
+        best[kind, bins[won]] = cost[won]
+
+    for i in range(0, len(shingles), AT_ONCE):
+        part = slice(i, i + AT_ONCE)
+        compete(1, shingles[part], np.ones(len(shingles[part])))
+        live, lo = np.arange(i, min(i + AT_ONCE, len(shingles))), 0
+        while len(live):
+            step = max(1, AT_ONCE // len(live))
+            units, at = replicas(shingles[live] + np.array([lo], np.uint64) * BASE, np.minimum(counts[live] - lo, step))
+            compete(0, units, weights[live][at])
+            lo += step
+            live = live[counts[live] > lo]
+    filled = np.isfinite(best)
+    for kind in range(KINDS):
+        for bin in np.flatnonzero(~filled[kind]):
+            out[kind, bin] = out[kind, BORROW[bin][filled[kind, BORROW[bin]].argmax()]]
+    return out
+
+
 def _sign(idf, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        table = idf.value
         for batch in batches:
-            digests: list[bytes] = []
-            signed: list[np.ndarray] = []
-            marks: list[bytes] = []
-            totals: list[np.ndarray] = []
-            held: list[tuple] = []
-
-            def flush() -> None:
-                if held:
-                    owner = np.repeat(np.arange(len(held)), [len(s) for s, _ in held])
-                    shingles, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-                    weights = counts * table[_cell(shingles)]
-                    units, at = replicas(shingles, counts)
-                    weighted = sample(units, table[_cell(shingles)][at], owner[at], len(held))
-                    samples = np.concatenate([weighted, sample(shingles, np.ones(len(shingles)), owner, len(held))], 1)
-                    signed.append(band_values(samples))
-                    marks.extend(row.tobytes() for row in (samples >> np.uint64(8)).astype(np.uint8))
-                    totals.append(np.stack([np.bincount(owner, minlength=len(held)), np.bincount(owner, weights, len(held))], 1))
-                    held.clear()
-
-            size = 0
-            for text in batch["text"].to_pylist():
-                shingles, counts, numbers = shingle_counts(text)
-                digests.append(xxhash.xxh3_128_digest(numbers.tobytes()) if len(numbers) else xxhash.xxh3_128_digest(b"text" + (text or "").encode()))
-                held.append((shingles, counts))
-                size += len(numbers)
-                if size > AT_ONCE:
-                    flush()
-                    size = 0
-            flush()
-            values = np.concatenate(signed) if signed else np.zeros((0, KINDS * BANDS), np.int64)
+            found = [signatures(texts, idf.value) for texts in grouped(batch["text"].to_pylist(), CHARS)]
+            values = np.concatenate([f[1] for f in found]) if found else np.zeros((0, KINDS * BANDS), np.int64)
             bands = pa.FixedSizeListArray.from_arrays(pa.array(values.reshape(-1)), KINDS * BANDS).cast(pa.list_(pa.int64()))
-            sums = np.concatenate(totals) if totals else np.zeros((0, 2))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary()), bands, pa.array(marks, pa.binary()), pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1])], schema=schema)
+            join = lambda i: [x for f in found for x in f[i]]
+            made = [pa.array(join(0), pa.binary()), bands, pa.array(join(2), pa.binary()), pa.array(join(3), pa.int64()), pa.array(join(4), pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], schema=schema)
 
     return run
 
@@ -221,116 +246,137 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def similar(a: str | None, b: str | None, idf: np.ndarray) -> tuple[float, float]:
-    """Weighted and plain Jaccard similarity of two texts' shingles."""
-    (s, n, _), (t, m, _) = shingle_counts(a), shingle_counts(b)
+def _bags(texts: list[str | None], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Shingles and weights of each text."""
+    shingles, counts, per, _, _ = shingle_counts(texts)
+    weights, ends = counts * idf[_cell(shingles)], np.cumsum(per).tolist()
+    return [(shingles[e - n : e], weights[e - n : e]) for e, n in zip(ends, per.tolist(), strict=True)]
+
+
+def _alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
+    """Weighted and plain Jaccard similarity."""
+    (s, ws), (t, wt) = a, b
     if not len(s) or not len(t):
         return 0.0, 0.0
-    both, i, j = np.intersect1d(s, t, assume_unique=True, return_indices=True)
-    ws, wt = n * idf[_cell(s)], m * idf[_cell(t)]
-    least = np.minimum(ws[i], wt[j]).sum()
-    return float(least / (ws.sum() + wt.sum() - least)), len(both) / (len(s) + len(t) - len(both))
+    at = np.minimum(np.searchsorted(t, s), len(t) - 1)
+    i = np.flatnonzero(t[at] == s)
+    least = np.minimum(ws[i], wt[at[i]]).sum()
+    return float(least / (ws.sum() + wt.sum() - least)), len(i) / (len(s) + len(t) - len(i))
+
+
+def similar(a: str | None, b: str | None, idf: np.ndarray) -> tuple[float, float]:
+    """Weighted and plain Jaccard similarity of two texts' shingles."""
+    return _alike(*_bags([a, b], idf))
 
 
 def _verify(idf, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [max(similar(a, b, idf.value)) >= least for a, b in zip(batch["text_u"].to_pylist(), batch["text_v"].to_pylist(), strict=True)]
+            good: list[bool] = []
+            u, v = (batch[c].to_pylist() for c in ("text_u", "text_v"))
+            at = 0
+            for left in grouped(u, CHARS):
+                bags = _bags([*left, *v[at : at + len(left)]], idf.value)
+                good += [max(_alike(a, b)) >= least for a, b in zip(bags[: len(left)], bags[len(left) :], strict=True)]
+                at += len(left)
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
-def _may(n: np.ndarray, m: np.ndarray, v: np.ndarray, w: np.ndarray, agree: np.ndarray, least: float) -> np.ndarray:
-    """Pairs that may be similar, by counts n and m, total weights v and w, and equal samples of the kind that has more."""
-    near = lambda a, b: np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9
-    return (near(n, m) | near(v, w)) & ((np.minimum(n, m) < MANY) | (agree >= AGREE))
+def least_equal(n: np.ndarray, least: float) -> np.ndarray:
+    """The share of equal samples that a pair of similarity ``least`` has at the least, by the smaller number of shingles.
+
+    With n shingles, F of B bins are filled and each lends to about (B - F) / F others.
+    """
+    filled = BINS * -np.expm1(-np.maximum(n, 1) / BINS)
+    lent = (BINS - filled) / filled
+    return least - DEVIATIONS * np.sqrt(least * (1 - least) * filled * ((1 + lent) ** 2 + lent)) / BINS
+
+
+def _may(a: list[np.ndarray], b: list[np.ndarray], least: float) -> np.ndarray:
+    """Pairs that may be similar. a, b: size, weight, those of the shingles that only its own component has, and marks.
+
+    By one of the kinds: totals are near enough, what may be shared is enough, and enough samples are equal.
+    """
+    equal = (a[4] == b[4]).mean(-1)
+    enough = least_equal(np.minimum(a[0], b[0]), least)
+    found = np.zeros(len(enough), bool)
+    for kind, total, own in ((1, 0, 2), (0, 1, 3)):
+        n, m = a[total], b[total]
+        near = np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9
+        shared = np.minimum(n - a[own], m - b[own]) * (1 + least) >= least * (n + m) - 1e-6 * (n + m)
+        found |= near & shared & (equal[:, kind] >= enough)
+    return found
 
 
 def _matrix(marks: pa.Array) -> np.ndarray:
     """Row, kind, bin."""
-    return np.frombuffer(b"".join(marks.to_pylist()), np.uint8).reshape(len(marks), -1, BINS) if len(marks) else np.zeros((0, KINDS, BINS), np.uint8)
+    return np.frombuffer(b"".join(marks.to_pylist()), np.uint8).reshape(len(marks), KINDS, BINS) if len(marks) else np.zeros((0, KINDS, BINS), np.uint8)
 
 
-def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a == b).mean(-1).max(-1)
+FACTS = ("size", "weight", "own_size", "own_weight")
 
 
 def _likely(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            agree = _agreement(_matrix(batch["marks_u"]), _matrix(batch["marks_v"]))
-            yield batch.select(["u", "v"]).filter(pa.array(_may(*(batch[c].to_numpy() for c in ("size_u", "size_v", "weight_u", "weight_v")), agree, least)))
+            none = np.zeros(len(batch))
+            a, b = ([batch[f"size_{s}"].to_numpy(), batch[f"weight_{s}"].to_numpy(), none, none, _matrix(batch[f"marks_{s}"])] for s in "uv")
+            yield batch.select(["u", "v"]).filter(pa.array(_may(a, b, least)))
 
     return run
 
 
-def _buckets(members: DataFrame) -> DataFrame:
-    """members: band, value, node. Those that share their bucket, with its smallest node and its size."""
-    sizes = members.groupBy("band", "value").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return members.join(sizes, ["band", "value"])
-
-
-ORDER = ["band", "value", "turn", "node"]
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """nodes: node, bands. value, node and n (the bucket's size) of those that share their bucket. A value tells its band."""
+    members = nodes.select(F.explode("bands").alias("value"), "node")
+    return members.join(members.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "value")
 
 
-def _ahead(skip: int) -> Column:
-    """The high halves of two bands that follow a row's own."""
-    half = lambda i: F.shiftrightunsigned(F.element_at("bands", (F.col("band") + i) % (KINDS * BANDS) + 1), 32)
-    return F.shiftleft(half(skip), 32).bitwiseOR(half(skip + 1))
+def _stars(buckets: DataFrame) -> DataFrame:
+    """Pairs of a bucket's hub and each other node."""
+    score = buckets.groupBy("node").agg(F.sum("n").alias("score"))
+    hubs = buckets.join(score, "node").groupBy("value").agg(F.max(F.struct("score", (-F.col("node")).alias("back"))).alias("hub")).select("value", (-F.col("hub.back")).alias("hub"))
+    pairs = buckets.join(hubs, "value").where("node <> hub")
+    return pairs.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
 
 
-def _closest(least: float):
-    """Rows in order, with class, its nodes, and samples -> pairs of each node with its closest stranger before and after it in its bucket."""
+def _shingle_rows(idf):
+    """node, class, minor, text -> a row a shingle, less its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
         for batch in batches:
-            rows = [batch[c].to_numpy() for c in ("band", "value", "node", "class", "members", "size", "weight")] + [_matrix(batch["marks"])]
-            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            band, value, node, kind, members, size, weight, marks = rows
-            score, mate = np.zeros((2, len(node))), np.full((2, len(node)), -1)
-            for d in range(1, min(REACH, len(node) - 1) + 1):
-                at = np.flatnonzero((band[d:] == band[:-d]) & (value[d:] == value[:-d]) & (kind[d:] != kind[:-d]))
-                agree = _agreement(marks[at + d], marks[at])
-                good = _may(size[at + d], size[at], weight[at + d], weight[at], agree, least)
-                for side, mine, other in ((0, at[good] + d, at[good]), (1, at[good], at[good] + d)):
-                    better = (agree[good] > score[side, mine]) & (members[mine] <= members[other])
-                    score[side, mine[better]], mate[side, mine[better]] = agree[good][better], other[better]
-            held = [x[-REACH:] for x in rows]
-            side, mine = np.nonzero(mate >= 0)
-            pairs = np.sort(np.stack([node[mine], node[mate[side, mine]]]), 0)
-            pairs = np.unique(pairs, axis=1) if pairs.shape[1] else pairs
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[1], pa.int64()), pa.array(pairs[0], pa.int64())], ["u", "v"])
+            at = 0
+            for texts in grouped(batch["text"].to_pylist(), CHARS):
+                shingles, counts, per, _, _ = shingle_counts(texts)
+                rows = pa.array(np.repeat(np.arange(at, at + len(texts)), per))
+                at += len(texts)
+                weights = counts * idf.value[_cell(shingles)]
+                yield pa.RecordBatch.from_arrays([*(batch[c].take(rows) for c in ("node", "class", "minor")), pa.array(shingles.view(np.int64)), pa.array(weights)], ["node", "class", "minor", "shingle", "weight"])
 
     return run
 
 
-def _across(buckets: DataFrame, nodes: DataFrame, turn: int, least: float) -> DataFrame:
-    """buckets with class; nodes: those in buckets."""
-    mixed = buckets.groupBy("band", "value").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("band", "value")
-    rows = buckets.join(mixed, ["band", "value"]).join(nodes.select("node", "bands", "size", "weight", "marks"), "node")
-    orders = [_ahead((turn * ORDERS + i) * 2 % (KINDS * BANDS - 1)).alias(f"turn{i}") for i in range(ORDERS)]
-    rows = through_files(rows.select("band", "value", "node", "class", "members", "size", "weight", "marks", *orders), "mixed")
-
-    def found(i: int) -> DataFrame:
-        dealt = rows.withColumn("turn", F.col(f"turn{i}")).drop(*[f"turn{j}" for j in range(ORDERS)])
-        return dealt.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(_closest(least), "u long, v long")
-
-    return reduce(DataFrame.unionByName, map(found, range(ORDERS))).distinct()
+def _own(people: DataFrame, idf) -> DataFrame:
+    """people: node, class, minor, text. Of each minor node: how many shingles, and of what weight, only its class has."""
+    rows = through_files(people.mapInArrow(_shingle_rows(idf), "node long, class long, minor boolean, shingle long, weight double"), "mixed-shingles")
+    shared = rows.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("shingle")
+    own = rows.where("minor").join(shared, "shingle", "left_anti")
+    return own.groupBy("node").agg(F.count(F.lit(1)).alias("own_size"), F.sum("weight").alias("own_weight"))
 
 
 def _strangers(least: float):
     """Rows ordered by block -> pairs of different classes between its left and right rows that may be similar."""
 
     def pairs(left: np.ndarray, right: np.ndarray, rows: list[np.ndarray]) -> Iterator[np.ndarray]:
-        node, kind, minor, size, weight, marks = rows
+        node, kind, minor, *facts = rows
         step = max(1, PAIRS // max(1, len(right)))
         for i in range(0, len(left), step):
             a, b = (x.reshape(-1) for x in np.meshgrid(left[i : i + step], right, indexing="ij"))
             apart = (kind[a] != kind[b]) & (~minor[b] | (node[a] > node[b]))  # two outsiders meet twice
             a, b = a[apart], b[apart]
-            good = _may(size[a], size[b], weight[a], weight[b], _agreement(marks[a], marks[b]), least)
+            good = _may([x[a] for x in facts], [x[b] for x in facts], least)
             yield np.sort(np.stack([node[a[good]], node[b[good]]]), 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,8 +393,8 @@ def _strangers(least: float):
             return pa.RecordBatch.from_arrays([pa.array(u[1], pa.int64()), pa.array(u[0], pa.int64())], ["u", "v"])
 
         for batch in batches:
-            keys = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("band", "value", "a", "b")], 1)
-            rows = [keys, *(batch[c].to_numpy(zero_copy_only=False) for c in ("left", "node", "class", "minor", "size", "weight")), _matrix(batch["marks"])]
+            keys = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("value", "a", "b")], 1)
+            rows = [keys, *(batch[c].to_numpy(zero_copy_only=False) for c in ("left", "node", "class", "minor", *FACTS)), _matrix(batch["marks"])]
             rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
             # The last block may go on in the next batch.
             done = int(np.flatnonzero((rows[0] != rows[0][-1]).any(1)).max(initial=-1)) + 1 if len(rows[0]) else 0
@@ -361,28 +407,34 @@ def _strangers(least: float):
     return run
 
 
-def _left_over(buckets: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """buckets with class; nodes: those in buckets. All pairs of different classes in a bucket that may be similar."""
-    counts = buckets.groupBy("band", "value", "class").agg(F.count(F.lit(1)).alias("c"))
-    mixed = counts.groupBy("band", "value").agg(F.max(F.struct("c", "class")).alias("main"), F.sum("c").alias("all")).where("all > main.c")
+def _left_over(buckets: DataFrame, nodes: DataFrame, idf, least: float) -> DataFrame:
+    """buckets: value, node, class; nodes: those in buckets, with texts. All pairs of different classes in a bucket that may be similar."""
+    counts = buckets.groupBy("value", "class").agg(F.count(F.lit(1)).alias("c"))
+    mixed = counts.groupBy("value").agg(F.max(F.struct("c", "class")).alias("main"), F.sum("c").alias("all")).where("all > main.c").select("value", F.col("main.class").alias("main"))
+    rows = through_files(buckets.join(mixed, "value").select("value", "node", "class", (F.col("class") != F.col("main")).alias("minor")), "mixed")
+    people = through_files(rows.groupBy("node", "class").agg(F.max("minor").alias("minor")), "mixed-nodes")
+    own = _own(nodes.select("node", "text").join(people, "node"), idf)
+    facts = people.select("node").join(nodes.select("node", "size", "weight", "marks"), "node").join(own, "node", "left").na.fill(0, ["own_size"]).na.fill(0.0, ["own_weight"])
+    # Of a node's total, SIMILARITY leaves at most 1 - least to what nobody else has.
+    lost = lambda own, total: F.col(own) > (1 - least) * F.col(total) * (1 + 1e-6)
+    alive = through_files(facts.where(~(lost("own_size", "size") & lost("own_weight", "weight"))), "mixed-alive")
+    rows = rows.join(alive.select("node"), "node")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    mixed = mixed.select("band", "value", F.col("main.class").alias("main"), blocks(F.col("all") - F.col("main.c")).alias("few"), blocks(F.col("all")).alias("many"))
-    rows = buckets.join(mixed, ["band", "value"]).join(nodes.select("node", "size", "weight", "marks"), "node").withColumn("minor", F.col("class") != F.col("main"))
-    rows = through_files(rows, "mixed")
-    part = lambda n: F.pmod(F.xxhash64("node", "band"), n).cast("int")
+    sizes = rows.groupBy("value").agg(F.count_if("minor").alias("few"), F.count(F.lit(1)).alias("many")).where("few > 0").select("value", blocks(F.col("few")).alias("few"), blocks(F.col("many")).alias("many"))
+    rows = rows.join(sizes, "value")
+    part = lambda n: F.pmod(F.xxhash64("node", "value"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.where("minor").withColumn("a", part(F.col("few"))).withColumn("b", every("many")).withColumn("left", F.lit(True))
     right = rows.withColumn("b", part(F.col("many"))).withColumn("a", every("few")).withColumn("left", F.lit(False))
-    key = ["band", "value", "a", "b"]
-    both = left.unionByName(right).select(*key, "left", "node", "class", "minor", "size", "weight", "marks")
+    key = ["value", "a", "b"]
+    both = left.unionByName(right).join(alive, "node").select(*key, "left", "node", "class", "minor", *[F.col(c).cast("double").alias(c) for c in FACTS], "marks")
     return both.repartition(*key).sortWithinPartitions(*key).mapInArrow(_strangers(least), "u long, v long").distinct()
 
 
 def _classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """node, class and the class's number of members, for all nodes."""
-    found = components(links)
-    classes = nodes.select("node").join(found.select(F.col("u").alias("node"), F.col("v").alias("class")), "node", "left").select("node", F.coalesce("class", "node").alias("class"))
-    return classes.join(classes.groupBy("class").agg(F.count(F.lit(1)).alias("members")), "class")
+    """node and class, for all nodes."""
+    found = components(links).select(F.col("u").alias("node"), F.col("v").alias("class"))
+    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("class", "node").alias("class"))
 
 
 def find_classes(documents: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -395,40 +447,25 @@ def find_classes(documents: DataFrame, least: float = SIMILARITY) -> tuple[DataF
     signed = through_files(rows.mapInArrow(_sign(idf, _arrow_schema(schema)), schema), "signed")
     # Rows of one node have the same samples; the first row in the order of doc_id speaks for it.
     rank = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.col("_row").alias("row"))
-    firsts = [F.first(f"_{c}").alias(c) for c in ("bands", "marks", "size", "weight")]
-    nodes = through_files(signed.groupBy("_digest").agg(F.min(rank).alias("rank"), *firsts).withColumn("node", F.col("rank.row")), "nodes")
-    members = nodes.where("size > 0").select("node", "bands", F.posexplode("bands").alias("at", "value")).withColumn("band", F.col("at") + 1).select("band", "value", "node")
-    buckets = through_files(_buckets(members), "buckets")
-    bucketed = through_files(nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "bands", "size", "weight", "marks"), "bucketed")
-    texts = signed.select(F.col("_row").alias("node"), "text")
+    nodes = through_files(signed.groupBy("_digest").agg(F.min(rank).alias("rank"), F.first("_bands").alias("bands"), F.first("_size").alias("size")).withColumn("node", F.col("rank.row")), "nodes")
+    buckets = through_files(_buckets(nodes.where("size > 0")), "buckets")
+    met = through_files(buckets.select("node").distinct(), "met")
+    bucketed = through_files(signed.select(F.col("_row").alias("node"), "text", *[F.col(f"_{c}").alias(c) for c in ("size", "weight", "marks")]).join(met, "node", "left_semi"), "bucketed")
+    texts, tokens = bucketed.select("node", "text"), bucketed.drop("text")
 
     def sided(df: DataFrame, side: str) -> DataFrame:
         return df.withColumnsRenamed({c: side if c == "node" else f"{c}_{side}" for c in df.columns})
 
     def verified(likely: DataFrame) -> DataFrame:
-        # Written, so that Spark knows their number before it decides how to join them with the texts.
-        wanted = through_files(likely.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "wanted")
-        some = texts.join(wanted, "node", "left_semi")
-        both = likely.join(sided(some, "u"), "u").join(sided(some, "v"), "v")
+        both = likely.join(sided(texts, "u"), "u").join(sided(texts, "v"), "v")
         return through_files(both.mapInArrow(_verify(idf, least), "u long, v long"), "verified")
 
-    stars = buckets.where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct()
-    tokens = bucketed.drop("bands")
-    marked = stars.join(sided(tokens, "u"), "u").join(sided(tokens, "v"), "v")
+    marked = _stars(buckets).join(sided(tokens, "u"), "u").join(sided(tokens, "v"), "v")
     pairs = through_files(marked.mapInArrow(_likely(least), "u long, v long"), "pairs")
     links = verified(pairs)
     classes = through_files(_classes(nodes, links), "classes")
-    turn = quiet = 0
-    while quiet < QUIET:
-        fresh = through_files(_across(buckets.join(classes, "node"), bucketed, turn, least).join(pairs, ["u", "v"], "left_anti"), "pairs")
-        more = verified(fresh)
-        pairs, turn = pairs.unionByName(fresh), turn + 1
-        if more.limit(1).count() == 0:
-            quiet += 1
-            continue
-        links, quiet = links.unionByName(more), 0
-        classes = through_files(_classes(nodes, links), "classes")
-    more = verified(through_files(_left_over(buckets.join(classes, "node"), bucketed, least).join(pairs, ["u", "v"], "left_anti"), "pairs"))
+    fresh = through_files(_left_over(buckets.select("value", "node").join(classes, "node"), bucketed, idf, least).join(pairs, ["u", "v"], "left_anti"), "pairs")
+    more = verified(fresh)
     if more.limit(1).count():
         classes = through_files(_classes(nodes, links.unionByName(more)), "classes")
     named = nodes.select("_digest", "node", "rank").join(classes, "node")

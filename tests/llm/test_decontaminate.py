@@ -101,3 +101,19 @@ def test_empty_tables(spark, docs_of):
     assert D.uncontaminated(docs, bench.limit(0)).count() == 1
     with pytest.raises(ValueError):
         D.contaminated(docs, bench, 0)
+
+
+def test_repetitive_texts_in_little_memory(monkeypatch):
+    """A long text of one word against an item of the same word, by parts of the document; memory is by common runs."""
+    import tracemalloc
+
+    one = np.full(1_000_000, 7, np.uint64)
+    tracemalloc.start()
+    assert D.tile(one, one[:200]) == [(0, 0, 200)]
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    rng = random.Random(9)
+    item, document = ([rng.randrange(3) for _ in range(n)] for n in (24, 60))
+    whole = D.tile(np.array(document, np.uint64), np.array(item, np.uint64), 3)
+    monkeypatch.setattr(D, "AT_ONCE", 24 * 7)
+    assert D.tile(np.array(document, np.uint64), np.array(item, np.uint64), 3) == whole == brute(document, item, 3)

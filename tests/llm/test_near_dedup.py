@@ -7,6 +7,7 @@ import pytest
 
 from proxigraph.llm import near_dedup as N
 from proxigraph.llm.components import components
+from proxigraph.llm.shingles import word_numbers
 
 
 def prose(rng, n):
@@ -31,7 +32,7 @@ def brute(rows, idf):
     for i in range(len(rows)):
         for j in range(i):
             a, b = rows[i][1], rows[j][1]
-            same = N.word_numbers(a).tolist() == N.word_numbers(b).tolist() if len(N.word_numbers(a)) else (a or "") == (b or "")
+            same = word_numbers(a).tolist() == word_numbers(b).tolist() if len(word_numbers(a)) else (a or "") == (b or "")
             if find(i) != find(j) and (same or max(N.similar(a, b, idf)) >= N.SIMILARITY):
                 parent[find(i)] = find(j)
     smallest = {}
@@ -81,22 +82,6 @@ def test_group_without_a_centre(docs_of):
     assert sorted((r["doc_id"], r["class_id"]) for r in N.near_duplicates(docs).collect()) == sorted(want)
 
 
-def test_closest_strangers_over_batches():
-    import pyarrow as pa
-
-    marks = np.zeros((7, N.BINS), np.uint8)
-    marks[2, :20] = marks[3, :10] = 1
-    marks[5, :60] = marks[6, :90] = 2
-    rows = [(1, 5, 10, 10, 0), (1, 5, 11, 10, 0), (1, 5, 12, 10, 3), (1, 5, 13, 10, 3), (1, 6, 14, 14, 3), (1, 6, 15, 14, 2), (1, 6, 16, 14, 2)]
-    rows = [(b, v, n, k, 3, 9, 9.0, m.tobytes()) for (b, v, n, _, k), m in zip(rows, marks, strict=True)]
-    columns = ["band", "value", "node", "class", "members", "size", "weight", "marks"]
-    for size in (1, 2, 7):
-        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + size], strict=True)], columns) for i in range(0, len(rows), size)]
-        pairs = {(r["u"], r["v"]) for b in N._closest(0.8)(iter(batches)) for r in b.to_pylist()}
-        # Of equally close ones the nearer row: 12 and 13 both pair with 11, 11 with 12 or 13 by batch.
-        assert {(12, 11), (13, 11), (15, 14), (16, 14)} <= pairs <= {(12, 11), (13, 11), (13, 10), (12, 10), (15, 14), (16, 14)}
-
-
 def test_samples_collide_as_weighted_jaccard():
     rng = np.random.default_rng(5)
     shingles = rng.integers(0, 2**63, 4_000).astype(np.uint64)
@@ -180,9 +165,8 @@ def test_plain_similarity_is_enough(docs_of):
 
 
 def test_twins_among_texts_of_one_template(docs_of, monkeypatch):
-    """Whatever the rounds leave is found all the same, over several blocks: here there are no rounds."""
-    monkeypatch.setattr(N, "QUIET", 0)
-    monkeypatch.setattr(N, "BLOCK", 16, raising=False)
+    """What the hub's pairs leave is found all the same, over several blocks."""
+    monkeypatch.setattr(N, "BLOCK", 16)
     rng, rows = random.Random(41), []
     template = prose(rng, 190)
     for i in range(120):
@@ -195,12 +179,63 @@ def test_twins_among_texts_of_one_template(docs_of, monkeypatch):
 
 
 def test_left_over_pairs_are_all_found(spark, monkeypatch):
-    """All strangers in a bucket meet, once, over blocks and batches; too different ones are left out."""
+    """All strangers in a bucket meet, once, over blocks and batches; those of too different sizes are left out, and what shares too little."""
     monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "_own", lambda people, idf: spark.createDataFrame([(n, 30, 0.0) for n in range(0, 60, 7)] + [(n, 0, 90.0) for n in range(0, 60, 7) if n % 2], "node long, own_size long, own_weight double").groupBy("node").agg(N.F.max("own_size").alias("own_size"), N.F.max("own_weight").alias("own_weight")))
     rng = random.Random(6)
     kind = {n: n if rng.random() < 0.5 else 0 for n in range(60)}
-    buckets = spark.createDataFrame([(band, 7, n, kind[n]) for n in kind for band in (1, 2) if band == 1 or n % 3 == 0], "band int, value long, node long, class long")
+    buckets = spark.createDataFrame([(band, n, kind[n]) for n in kind for band in (1, 2) if band == 1 or n % 3 == 0], "value long, node long, class long")
     size = {n: 100 if n % 5 else 300 for n in kind}
-    nodes = spark.createDataFrame([(n, size[n], float(size[n]), bytes(N.KINDS * N.BINS)) for n in kind], "node long, size long, weight double, marks binary")
-    want = [(u, v) for u in kind for v in range(u) if kind[u] != kind[v] and size[u] == size[v]]
-    assert sorted(map(tuple, N._left_over(buckets, nodes, 0.8).collect())) == sorted(want)
+    nodes = spark.createDataFrame([(n, "", size[n], float(size[n]), bytes(N.KINDS * N.BINS)) for n in kind], "node long, text string, size long, weight double, marks binary")
+    lost = {n for n in range(0, 60, 7) if n % 2 and size[n] == 100}
+    want = [(u, v) for u in kind for v in range(u) if kind[u] != kind[v] and size[u] == size[v] and not {u, v} & lost]
+    assert sorted(map(tuple, N._left_over(buckets, nodes, None, 0.8).collect())) == sorted(want)
+
+
+def test_own_shingles(spark):
+    idf = spark.sparkContext.broadcast(np.ones(1 << N.CELLS))
+    rows = [(1, 1, True, "a b c d e x y"), (2, 1, False, "a b c d e x"), (3, 3, False, "a b c d e"), (4, 4, True, "p q r s t u p q r s t"), (5, 5, True, "")]
+    own = N._own(spark.createDataFrame(rows, "node long, class long, minor boolean, text string"), idf)
+    assert {r["node"]: (r["own_size"], r["own_weight"]) for r in own.collect()} == {1: (2, 2.0), 4: (6, 7.0)}
+
+
+def test_long_texts_are_sampled_alike(monkeypatch):
+    """In pieces or at once, also with a shingle that occurs very often."""
+    rng = random.Random(3)
+    for text in (" ".join(prose(rng, 3000)), "again " * 2000 + " ".join(prose(rng, 40)), "a b c d e"):
+        table = np.random.default_rng(1).uniform(1, 2, 1 << N.CELLS)
+        at_once = N.signatures([text], table)
+        monkeypatch.setattr(N, "AT_ONCE", 300)
+        in_pieces = N.signatures([text], table)
+        monkeypatch.undo()
+        assert (at_once[1] == in_pieces[1]).all() and at_once[2] == in_pieces[2] and at_once[0] == in_pieces[0]
+
+
+def test_enough_equal_samples():
+    """Pairs of similarity 0.8 pass the test of equal samples at any size."""
+    rng = np.random.default_rng(2)
+    for n in (5, 9, 18, 45, 90, 180, 450, 900):
+        shared = round(n * 8 / 9)
+        low = N.least_equal(np.array([n]), 0.8)[0]
+        for _ in range(60):
+            both, a, b = (rng.integers(0, 2**63, k).astype(np.uint64) for k in (shared, n - shared, n - shared))
+            x, y = (N.sample(s, np.ones(n), np.zeros(n, np.int64), 1) for s in (np.concatenate([both, a]), np.concatenate([both, b])))
+            assert (x == y).mean() >= low
+
+
+def test_recall_on_a_whole_table(spark):
+    """Every link that a comparison of all pairs finds is found."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    idf = N.idf_table(docs)
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    bags = N._bags([t for _, t in rows], idf)
+    got = {r["doc_id"]: r["class_id"] for r in N.near_duplicates(docs).collect()}
+    links = lost = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            n, m = len(bags[i][0]), len(bags[j][0])
+            w, v = bags[i][1].sum(), bags[j][1].sum()
+            if (min(n, m) >= 0.8 * max(n, m) or min(w, v) >= 0.8 * max(w, v)) and max(N._alike(bags[i], bags[j])) >= N.SIMILARITY:
+                links += 1
+                lost += got[rows[i][0]] != got[rows[j][0]]
+    assert links > 10 and lost == 0
