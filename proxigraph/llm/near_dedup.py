@@ -51,7 +51,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,7 +70,9 @@ AT_ONCE, CHARS = 50_000, 300_000
 #: How far the share of equal samples of a pair of SIMILARITY may lie below it, in standard deviations.
 DEVIATIONS = 5.3
 #: Nodes on a block's side, and pairs that are compared at a time.
-BLOCK, PAIRS = 256, 8192
+BLOCK, PAIRS = 1024, 8192
+#: Texts of so many shingles or fewer bring them all to their block, as 32 bits each.
+FEW = 512
 
 
 def shingle_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -366,17 +368,53 @@ def _own(people: DataFrame, idf) -> DataFrame:
     return own.groupBy("node").agg(F.count(F.lit(1)).alias("own_size"), F.sum("weight").alias("own_weight"))
 
 
-def _strangers(least: float):
+def _unpacked(packed: bytes | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    if packed is None:
+        return None
+    shingles, counts = np.frombuffer(packed, "<u4").reshape(2, -1)
+    return shingles, counts * idf[shingles >> np.uint32(32 - CELLS)]
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The upper halves of a text's shingles, in order, and their counts; null if there are more than FEW, or two with one half.
+
+    Two texts' shingles of one half count as the same, so similarities by halves are never smaller than by whole numbers.
+    """
+    for batch in batches:
+        out: list[bytes | None] = []
+        for texts in grouped(batch["text"].to_pylist(), CHARS):
+            shingles, counts, per, _, _ = shingle_counts(texts)
+            ends = np.cumsum(per).tolist()
+            for e, n in zip(ends, per.tolist(), strict=True):
+                halves = (shingles[e - n : e] >> np.uint64(32)).astype("<u4")
+                same = n > 1 and bool((halves[1:] == halves[:-1]).any())
+                out.append(None if n > FEW or same else np.stack([halves, counts[e - n : e].astype("<u4")]).tobytes())
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i, c in enumerate(batch.schema.names) if c != "text"), pa.array(out, pa.binary())], [*(c for c in batch.schema.names if c != "text"), "packed"])
+
+
+def _strangers(idf, least: float):
     """Rows ordered by block -> pairs of different classes between its left and right rows that may be similar."""
 
     def pairs(left: np.ndarray, right: np.ndarray, rows: list[np.ndarray]) -> Iterator[np.ndarray]:
-        node, kind, minor, *facts = rows
+        node, kind, minor, packed, *facts = rows
         step = max(1, PAIRS // max(1, len(right)))
+        bags: dict[int, tuple[np.ndarray, np.ndarray] | None] = {}
+
+        def bag(i: int):
+            if i not in bags:
+                bags[i] = _unpacked(packed[i], idf.value)
+            return bags[i]
+
+        def alike(i: int, j: int) -> bool:
+            x, y = bag(i), bag(j)
+            return x is None or y is None or max(_alike(x, y)) >= least - 1e-9
+
         for i in range(0, len(left), step):
             a, b = (x.reshape(-1) for x in np.meshgrid(left[i : i + step], right, indexing="ij"))
             apart = (kind[a] != kind[b]) & (~minor[b] | (node[a] > node[b]))  # two outsiders meet twice
             a, b = a[apart], b[apart]
-            good = _may([x[a] for x in facts], [x[b] for x in facts], least)
+            good = np.flatnonzero(_may([x[a] for x in facts], [x[b] for x in facts], least))
+            good = good[[alike(i, j) for i, j in zip(a[good].tolist(), b[good].tolist(), strict=True)]] if len(good) else good
             yield np.sort(np.stack([node[a[good]], node[b[good]]]), 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,7 +432,7 @@ def _strangers(least: float):
 
         for batch in batches:
             keys = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("value", "a", "b")], 1)
-            rows = [keys, *(batch[c].to_numpy(zero_copy_only=False) for c in ("left", "node", "class", "minor", *FACTS)), _matrix(batch["marks"])]
+            rows = [keys, *(batch[c].to_numpy(zero_copy_only=False) for c in ("left", "node", "class", "minor")), np.array(batch["packed"].to_pylist(), object), *(batch[c].to_numpy() for c in FACTS), _matrix(batch["marks"])]
             rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
             # The last block may go on in the next batch.
             done = int(np.flatnonzero((rows[0] != rows[0][-1]).any(1)).max(initial=-1)) + 1 if len(rows[0]) else 0
@@ -414,21 +452,29 @@ def _left_over(buckets: DataFrame, nodes: DataFrame, idf, least: float) -> DataF
     rows = through_files(buckets.join(mixed, "value").select("value", "node", "class", (F.col("class") != F.col("main")).alias("minor")), "mixed")
     people = through_files(rows.groupBy("node", "class").agg(F.max("minor").alias("minor")), "mixed-nodes")
     own = _own(nodes.select("node", "text").join(people, "node"), idf)
-    facts = people.select("node").join(nodes.select("node", "size", "weight", "marks"), "node").join(own, "node", "left").na.fill(0, ["own_size"]).na.fill(0.0, ["own_weight"])
-    # Of a node's total, SIMILARITY leaves at most 1 - least to what nobody else has.
-    lost = lambda own, total: F.col(own) > (1 - least) * F.col(total) * (1 + 1e-6)
-    alive = through_files(facts.where(~(lost("own_size", "size") & lost("own_weight", "weight"))), "mixed-alive")
-    rows = rows.join(alive.select("node"), "node")
+    facts = people.select("node").join(nodes.select("node", "text", "size", "weight", "marks"), "node").join(own, "node", "left").na.fill(0, ["own_size"]).na.fill(0.0, ["own_weight"])
+
+    def partner(total: str, own: str) -> Column:
+        """The largest size or weight of a text that may be similar."""
+        return (F.col(total) - F.col(own)) * (1 + least) / least - F.col(total)
+
+    few_own = lambda total, own, smallest: partner(total, own) * (1 + 1e-6) >= smallest
+    alive = facts.where(few_own("size", "own_size", least * F.col("size")) | few_own("weight", "own_weight", least * F.col("weight")))
+    columns = ["node long", "size double", "weight double", "own_size double", "own_weight double", "marks binary"]
+    alive = alive.selectExpr(*[f"CAST({c.split()[0]} AS {c.split()[1].replace('long', 'bigint')}) AS {c.split()[0]}" for c in columns], "text")
+    alive = through_files(alive.mapInArrow(_packed, ", ".join([*columns, "packed binary"])), "mixed-alive")
+    rows = rows.join(alive.select("node", *FACTS), "node")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = rows.groupBy("value").agg(F.count_if("minor").alias("few"), F.count(F.lit(1)).alias("many")).where("few > 0").select("value", blocks(F.col("few")).alias("few"), blocks(F.col("many")).alias("many"))
-    rows = rows.join(sizes, "value")
+    sizes = rows.groupBy("value").agg(F.count_if("minor").alias("few"), F.count(F.lit(1)).alias("many"), F.min("size").alias("least_size"), F.min("weight").alias("least_weight")).where("few > 0")
+    rows = rows.join(sizes.withColumns({"few": blocks(F.col("few")), "many": blocks(F.col("many"))}), "value")
+    rows = rows.withColumn("minor_alive", F.col("minor") & (few_own("size", "own_size", F.col("least_size")) | few_own("weight", "own_weight", F.col("least_weight")))).drop(*FACTS)
     part = lambda n: F.pmod(F.xxhash64("node", "value"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.where("minor").withColumn("a", part(F.col("few"))).withColumn("b", every("many")).withColumn("left", F.lit(True))
+    left = rows.where("minor_alive").withColumn("a", part(F.col("few"))).withColumn("b", every("many")).withColumn("left", F.lit(True))
     right = rows.withColumn("b", part(F.col("many"))).withColumn("a", every("few")).withColumn("left", F.lit(False))
     key = ["value", "a", "b"]
-    both = left.unionByName(right).join(alive, "node").select(*key, "left", "node", "class", "minor", *[F.col(c).cast("double").alias(c) for c in FACTS], "marks")
-    return both.repartition(*key).sortWithinPartitions(*key).mapInArrow(_strangers(least), "u long, v long").distinct()
+    both = left.unionByName(right).join(alive, "node").select(*key, "left", "node", "class", F.col("minor_alive").alias("minor"), *FACTS, "marks", "packed")
+    return both.repartition(*key).sortWithinPartitions(*key).mapInArrow(_strangers(idf, least), "u long, v long").distinct()
 
 
 def _classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
