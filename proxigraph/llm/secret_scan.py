@@ -16,7 +16,10 @@ pattern matches and of what lies between; their running sums are taken in
 blocks, so a document with very many matches stays cheap.
 
 Defined results: null text is empty; rows are judged one by one, so repeated
-rows and null doc_ids are kept; other columns are ignored.
+rows and null doc_ids are kept; other columns are ignored; an empty table
+gives an empty result. Very long texts are matched whole, and very long
+candidates cost time in proportion to their length (some microseconds a
+character) and nothing recurses on them.
 """
 
 from __future__ import annotations
@@ -93,27 +96,37 @@ NO_SPANS = "array<struct<start:int,order:int,end:int,kind:string,text:string>>"
 
 
 def _entropy_span(text: Column, start: Column, limit: Column) -> Column:
-    """First and last window with S at most limit, as a span; start -1 if none."""
+    """First and last window with S at most limit, as a span; start -1 if none.
+
+    The candidate is cut into stretches of BLOCK characters with the WINDOW before them (blanks before the first), so
+    that a character is never looked up from the far end of a long string. A step's change of S depends on the window
+    before it alone: the coming character's count grows by one, and that of the one that goes falls.
+    """
     table = F.array(*map(F.lit, PLOGP))
     value = lambda c: F.element_at(table, c + 1)
-    symbol = lambda i: F.call_function("locate", F.call_function("substring", text, i, F.lit(1)), F.lit(SYMBOLS))
-    zeros = F.array_repeat(F.lit(0), len(SYMBOLS))
-    state = F.struct(zeros.alias("counts"), F.lit(0).cast("long").alias("s"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-
-    def step(acc: Column, i: Column) -> Column:
-        come, gone = symbol(i), F.when(i > WINDOW, symbol(i - WINDOW)).otherwise(F.lit(0))
-        had = F.element_at(acc["counts"], come)
-        # The coming character is counted first; if it is also the one that goes, the counts stay.
-        moved = F.when(come == gone, F.lit(0)).otherwise(
-            value(had + 1) - value(had) + F.when(gone > 0, value(F.element_at(acc["counts"], F.greatest(gone, F.lit(1))) - 1) - value(F.element_at(acc["counts"], F.greatest(gone, F.lit(1))))).otherwise(F.lit(0))
-        )
-        s = acc["s"] + moved
-        counts = F.when(come == gone, acc["counts"]).otherwise(F.transform(acc["counts"], lambda c, j: c + F.when(j + 1 == come, 1).when(j + 1 == gone, -1).otherwise(0)))
-        hit = (i >= WINDOW) & (s <= limit)
-        return F.struct(counts.alias("counts"), s.alias("s"), F.when(hit & (acc["first"] < 0), i - WINDOW).otherwise(acc["first"]).alias("first"), F.when(hit, i).otherwise(acc["last"]).alias("last"))
-
-    done = F.aggregate(F.sequence(F.lit(1), F.char_length(text)), state, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
-    return F.struct(F.when(done["first"] < 0, F.lit(-1)).otherwise(start + done["first"]).alias("start"), F.lit(len(KINDS)).alias("order"), (start + done["last"]).alias("end"), F.lit("entropy").alias("kind"), text.alias("text"))
+    part = lambda x, at, n: F.call_function("substring", x, at, n if isinstance(n, Column) else F.lit(n))
+    padded = F.concat(F.lit(" " * WINDOW), text)
+    stretches = F.transform(F.sequence(F.lit(1), F.char_length(text), F.lit(BLOCK)), lambda at: part(padded, at, BLOCK + WINDOW))
+
+    def change(stretch: Column, at: Column) -> Column:
+        before, come, gone = part(stretch, at, WINDOW), part(stretch, at + WINDOW, 1), part(stretch, at, 1)
+        had = lambda c: WINDOW - F.char_length(F.call_function("replace", before, c, F.lit("")))
+        grown = value(had(come) + 1) - value(had(come))
+        fallen = F.when(gone == " ", F.lit(0)).otherwise(value(had(gone) - 1) - value(had(gone)))
+        return F.when(come == gone, F.lit(0)).otherwise(grown + fallen)
+
+    changes = F.flatten(F.transform(stretches, lambda x: F.transform(F.sequence(F.lit(1), F.char_length(x) - WINDOW), lambda at: change(x, at))))
+    # The limit is part of the state, as a step would work it out anew from the whole candidate.
+    state = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("s"), limit.alias("limit"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+
+    def step(acc: Column, moved: Column) -> Column:
+        i, s = acc["i"] + 1, acc["s"] + moved
+        hit = (i >= WINDOW) & (s <= acc["limit"])
+        return F.struct(i.alias("i"), s.alias("s"), acc["limit"].alias("limit"), F.when(hit & (acc["first"] < 0), i - WINDOW).otherwise(acc["first"]).alias("first"), F.when(hit, i).otherwise(acc["last"]).alias("last"))
+
+    done = F.aggregate(changes, state, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    span = lambda d: F.struct(F.when(d["first"] < 0, F.lit(-1)).otherwise(start + d["first"]).alias("start"), F.lit(len(KINDS)).alias("order"), (start + d["last"]).alias("end"), F.lit("entropy").alias("kind"), text.alias("text"))
+    return F.element_at(F.transform(F.array(done), span), 1)
 
 
 def _limit(text: Column) -> Column:
@@ -124,7 +137,11 @@ def _limit(text: Column) -> Column:
 
 
 def _allowed(text: Column) -> Column:
-    return text.rlike("^(?:" + "|".join(f"(?:{p})" for p in ALLOW[:-1]) + ")$") | text.rlike(f"^{ALLOW[-1]}$")
+    """One of ALLOW fits. The two for words are put so that no group repeats, as Java's patterns recurse for each repeat."""
+    words = text.rlike("^[A-Za-z_-]+$") & text.rlike("^[A-Z]?[a-z]") & ~text.rlike("[A-Za-z][A-Z]")
+    capitals = text.rlike("^[A-Z][A-Z_-]*$")
+    same = F.call_function("replace", text, F.call_function("substring", text, F.lit(1), F.lit(1)), F.lit("")) == ""
+    return words | capitals | text.rlike("^(?:" + "|".join(f"(?:{p})" for p in ALLOW[2:-1]) + ")$") | same
 
 
 def find_secrets(documents: DataFrame) -> DataFrame:
