@@ -2,30 +2,37 @@
 
 A line's path in the tree is its token count and its LEAD first tokens;
 tokens that look variable (a digit, ``@`` or ``://``) are wildcards on the
-way down. The leaf holds templates. Besides a line's own template, the rest
-of a line of MIN_GENERAL or more tokens is divided into SEGMENTS stretches,
-and each template with one stretch as a wildcard is in the leaf as well: two
-lines share one of these if they differ within one stretch only, whatever
-the fields there are. So fields generalise without comparing lines pair by
-pair, in one pass and in any order.
+way down, unless they are more than half of the line. So every line has one
+whole template. The leaf generalises the fields that don't look variable: of
+the different whole templates in it, a token is a field where fewer than
+COMMON of them (and fewer than two) have it at its place. If a template of
+MIN_GENERAL or more tokens has one field or more, but at most one in
+FIELD_EVERY tokens (at least one is allowed), its fields become wildcards;
+if templates of MIN_FIRST or more different first documents then are the
+same, they are one template from there on. Otherwise it stays as it was. So a
+line has exactly one template, whatever the order of documents.
 
 A template recurs if ``min_docs`` or more documents have it. Its first
 document (smallest doc_id) keeps its lines; in all others, lines of a
-recurring template are dropped. Thus boilerplate goes but each text stays
-once, and of copied documents one remains whole.
+recurring template are dropped. As a line has one template, every template
+that a line is dropped for is still there in its first document.
 
-Only hashes of templates (96 bits) are shuffled, with counts combined before
+One row of hashes a line is written and shuffled, with counts combined before
 the shuffle, so a template that a third of all documents share is one row a
-task; the join back to its lines is one that Spark can split.
-
-Defined results: null text is empty. Lines end at ``\\n``; those with fewer
-than MIN_TOKENS tokens are kept always. A line of mostly variable tokens is
-its own template, so rows of numbers don't match each other. Repeats within
-a document are no recurrence. Rows that share a doc_id count as one
+task; the join back to its lines is one that Spark can split. Tokens are
+looked at for templates only whose leaf holds several: a bitmap of 2^BITS bits
+(all that is broadcast) lets most other lines pass in the second reading, and
+a join settles the rest.
+
+Defined results: null text is empty. Lines end at ``\\n``; blank lines are
+kept always. A line of mostly variable tokens is its own template, so rows of
+numbers don't match each other. Repeats within a document are no recurrence.
+Very long lines are lines like others. Rows that share a doc_id count as one
 document as to who keeps a line, but each loses only its own lines; a null
 doc_id (and 2^63 - 1) comes after all others, and each row with it is a
 document of its own, the first row first. A document that loses all its
-lines stays, with empty text. Rows are numbered in a written table.
+lines stays, with empty text; other columns are kept. An empty table gives an
+empty result. Rows are numbered in a written table.
 """
 
 from __future__ import annotations
@@ -40,94 +47,135 @@ from pyspark.sql import functions as F
 
 from proxigraph.llm.common import shield, table, through_files
 
-LEAD, SEGMENTS, MIN_TOKENS, MIN_GENERAL, MIN_DOCS = 2, 3, 3, 8, 2
+LEAD, MIN_GENERAL, MIN_DOCS, MIN_FIRST = 2, 5, 2, 3
+#: A token is a field if fewer than one in COMMON of its leaf's templates have it; a template has at most one field in FIELD_EVERY tokens.
+COMMON, FIELD_EVERY = 10, 6
+#: Bits of the bitmap, as a power of two: 4 MB. Templates that a task remembers to have sent already.
+BITS, SENT = 25, 100_000
 WILDCARD = b"<*>"
 #: Joins tokens; no token holds it, as it is white space to bytes.split.
 GLUE = b" "
 _variable = re.compile(rb"[0-9@]|://").search
-KEY_SCHEMA = "k1 long, k2 int, doc long, row long"
-LINE_SCHEMA = KEY_SCHEMA + ", line int"
+LINE_SCHEMA = "row long, doc long, line int, n int, leaf long, k1 long, k2 int"
+TOKEN_SCHEMA = "k1 long, k2 int, place int, token long"
 LAST = 2**63 - 1
 
 
-def templates(line: bytes) -> list[bytes]:
-    """The line's own template, then those with a stretch as a wildcard; empty for short lines."""
+def template(line: bytes) -> list[bytes]:
+    """The tokens of the line's whole template."""
     tokens = line.split()
-    n = len(tokens)
-    if n < MIN_TOKENS:
-        return []
     if _variable(line):
         masked = [WILDCARD if _variable(t) else t for t in tokens]
-        if 2 * masked.count(WILDCARD) <= n:
-            tokens = masked
-    whole = GLUE.join(tokens)
-    if n < MIN_GENERAL:
-        return [whole]
-    out, rest = [whole], n - LEAD
-    for j in range(SEGMENTS):
-        a, b = LEAD + rest * j // SEGMENTS, LEAD + rest * (j + 1) // SEGMENTS
-        out.append(b"%d %d %s %s %s" % (n, j, GLUE.join(tokens[:a]), WILDCARD, GLUE.join(tokens[b:])))
-    return out
-
-
-def _keys(with_lines: bool):
+        if 2 * masked.count(WILDCARD) <= len(tokens):
+            return masked
+    return tokens
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, doc, text -> LINE_SCHEMA; a whole template once a row of the input but for its lines' numbers."""
+    import xxhash
+
+    digest, short = xxhash.xxh3_128_digest, xxhash.xxh3_64_intdigest
+    for batch in batches:
+        keys: list[bytes] = []
+        cols: list[list[int]] = [[] for _ in range(5)]
+
+        def flush() -> pa.RecordBatch:
+            whole = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
+            row, doc, line, n, leaf = (np.array(c, t) for c, t in zip(cols, ("i8", "i8", "i4", "i4", "u8"), strict=True))
+            made = pa.RecordBatch.from_arrays([pa.array(c) for c in (row, doc, line, n, leaf.view("i8"), whole[:, 0].astype("<i8"), (whole[:, 1] & np.uint64(0xFFFFFFFF)).astype("<u4").view("<i4"))], ["row", "doc", "line", "n", "leaf", "k1", "k2"])
+            for c in (keys, *cols):
+                c.clear()
+            return made
+
+        for row, doc, text in zip(*(batch[c].to_pylist() for c in ("row", "doc", "text")), strict=True):
+            for i, line in enumerate((text or "").encode().split(b"\n")):
+                tokens = template(line)
+                if tokens:
+                    keys.append(digest(GLUE.join(tokens)))
+                    for c, v in zip(cols, (row, doc, i, len(tokens), short(b"%d %s" % (len(tokens), GLUE.join(tokens[:LEAD])))), strict=True):
+                        c.append(v)
+            if len(keys) > 50_000:
+                yield flush()
+        yield flush()
+
+
+def _tokens(bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """text -> TOKEN_SCHEMA of the templates that are in the bitmap, each about once a task."""
         import xxhash
 
-        digest = xxhash.xxh3_128_digest
+        digest, short, bits = xxhash.xxh3_128_digest, xxhash.xxh3_64_intdigest, bitmap.value
+        sent: set[bytes] = set()
         for batch in batches:
             keys: list[bytes] = []
-            docs: list[int] = []
-            numbers: list[int] = []
-            lines: list[int] = []
-
-            def flush() -> pa.RecordBatch:
-                whole = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
-                cols = [pa.array(whole[:, 0].astype("<i8")), pa.array((whole[:, 1] & np.uint64(0xFFFFFFFF)).astype("<u4").view("<i4")), pa.array(docs, pa.int64()), pa.array(numbers, pa.int64())]
-                names = ["k1", "k2", "doc", "row"]
-                if with_lines:
-                    cols, names = [*cols, pa.array(lines, pa.int32())], [*names, "line"]
-                for c in (keys, docs, numbers, lines):
-                    c.clear()
-                return pa.RecordBatch.from_arrays(cols, names)
-
-            for doc, row, text in zip(*(batch[c].to_pylist() for c in ("doc", "row", "text")), strict=True):
-                seen: set[bytes] = set()
-                for i, line in enumerate((text or "").encode().split(b"\n")):
-                    found = [digest(t) for t in templates(line)]
-                    if with_lines:
-                        keys += found
-                        lines += [i] * len(found)
-                        docs += [doc] * len(found)
-                        numbers += [row] * len(found)
-                    else:
-                        seen.update(found)
-                if seen:
-                    keys += seen
-                    docs += [doc] * len(seen)
-                    numbers += [row if doc == LAST else -1] * len(seen)  # of others the id says it all
-                if len(keys) > 50_000:
-                    yield flush()
-            yield flush()
+            tokens: list[int] = []
+            sizes: list[int] = []
+            for text in batch["text"].to_pylist():
+                for line in (text or "").encode().split(b"\n"):
+                    found = template(line)
+                    if len(found) < MIN_GENERAL:
+                        continue
+                    key = digest(GLUE.join(found))
+                    at = int.from_bytes(key[:8], "little") >> (64 - BITS)
+                    if bits[at >> 3] >> (at & 7) & 1 and key not in sent:
+                        if len(sent) >= SENT:
+                            sent.clear()
+                        sent.add(key)
+                        keys.append(key)
+                        tokens += map(short, found)
+                        sizes.append(len(found))
+            whole = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
+            n = np.array(sizes, np.int64)
+            of = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            cols = (whole[of, 0].astype("<i8"), (whole[of, 1] & np.uint64(0xFFFFFFFF)).astype("<u4").view("<i4"), place.astype(np.int32), np.array(tokens, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k1", "k2", "place", "token"])
 
     return run
 
 
-def _order(doc_id: Column) -> Column:
-    return F.coalesce(doc_id, F.lit(LAST))
+def _document(doc: str, row: str) -> Column:
+    """What a document is told by, in order; of documents with an id, the id says it all."""
+    return F.struct(F.col(doc).alias("doc"), F.when(F.col(doc) == LAST, F.col(row)).otherwise(F.lit(-1)).alias("row"))
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """Of the highest BITS bits of k1; 2^BITS / 64 rows reach the driver at most, however many keys there are."""
+    at = keys.select(F.shiftrightunsigned("k1", 64 - BITS).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).collect()
+    bitmap = np.zeros(1 << (BITS - 6), np.int64)
+    for r in words:
+        bitmap[r["word"]] = r["bits"]
+    return bitmap.view(np.uint8)
+
+
+def _generalised(documents: DataFrame, wholes: DataFrame) -> DataFrame:
+    """wholes: k1, k2, leaf, n, first. k1, k2 and first (the first document) of the templates that have become one with others."""
+    leaves = wholes.where(F.col("n") >= MIN_GENERAL).groupBy("leaf").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    loose = through_files(wholes.where(F.col("n") >= MIN_GENERAL).join(leaves, "leaf"), "loose-templates")
+    bitmap = documents.sparkSession.sparkContext.broadcast(_bitmap(loose))
+    tokens = documents.select("text").mapInArrow(_tokens(bitmap), TOKEN_SCHEMA).distinct()
+    tokens = through_files(tokens.join(loose, ["k1", "k2"]).select("k1", "k2", "leaf", "m", "place", "token"), "loose-tokens")
+    common = tokens.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("c"), F.first("m").alias("m")).where((F.col("c") >= 2) & (F.col("c") * COMMON >= F.col("m"))).select("leaf", "place", "token", F.lit(True).alias("common"))
+    marked = tokens.join(common, ["leaf", "place", "token"], "left").withColumn("fixed", F.coalesce("common", F.lit(False)))
+    made = marked.groupBy("k1", "k2", "leaf").agg(F.array_sort(F.collect_list(F.struct("place", F.when(F.col("fixed"), F.col("token")).alias("token")))).alias("path"), F.count_if(~F.col("fixed")).alias("fields"), F.count(F.lit(1)).alias("n"))
+    made = made.where((F.col("fields") > 0) & (F.col("fields") <= F.greatest(F.lit(1), F.floor(F.col("n") / FIELD_EVERY)))).select("k1", "k2", "leaf", F.xxhash64("path").alias("t1"), F.hash("path").alias("t2"))
+    made = made.join(loose.select("k1", "k2", "first"), ["k1", "k2"])
+    same = made.groupBy("leaf", "t1", "t2").agg(F.count_distinct("first").alias("firsts"), F.min("first").alias("owner")).where(F.col("firsts") >= MIN_FIRST)
+    return made.join(same, ["leaf", "t1", "t2"]).select("k1", "k2", "owner", "firsts")
 
 
 def dropped_lines(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """documents: doc_id, text, _row (its number, the same each time it is read). Returns row and lines: numbers (from 0) of the lines to drop; one row a row that has any."""
-    rows = documents.select(_order(F.col("doc_id")).alias("doc"), F.col("_row").alias("row"), "text")
-    # Two documents are told apart by the owner alone.
-    count = F.count(F.lit(1)) if min_docs <= 2 else F.count_distinct("doc", "row")
-    known = rows.mapInArrow(_keys(False), KEY_SCHEMA).groupBy("k1", "k2").agg(F.min("doc").alias("owner"), F.min("row").alias("first"), count.alias("n"))
-    recurring = known.where(F.col("n") >= min_docs).select("k1", "k2", "owner", "first")
-    lines = rows.mapInArrow(_keys(True), LINE_SCHEMA)
-    # If a row without id is the owner, all rows that have the template are without.
-    later = (F.col("doc") > F.col("owner")) | ((F.col("doc") == LAST) & (F.col("owner") == LAST) & (F.col("row") > F.col("first")))
-    return lines.join(recurring, ["k1", "k2"]).where(later).groupBy("row").agg(F.collect_set("line").alias("lines"))
+    rows = documents.select(F.col("_row").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text")
+    lines = through_files(rows.mapInArrow(_lines, LINE_SCHEMA), "lines")
+    document = _document("doc", "row")
+    many = (F.max(document) != F.min(document)) if min_docs == 2 else F.count_distinct(document) >= min_docs
+    wholes = through_files(lines.groupBy("k1", "k2").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.min(document).alias("first"), many.alias("many")), "templates")
+    general = _generalised(rows, wholes.drop("many")).where(F.col("firsts") >= min_docs).drop("firsts")
+    owners = wholes.join(general, ["k1", "k2"], "left").where("many or owner is not null").select("k1", "k2", F.coalesce("owner", "first").alias("owner"))
+    return lines.select("row", "doc", "line", "k1", "k2").join(owners, ["k1", "k2"]).where(document > F.col("owner")).groupBy("row").agg(F.collect_set("line").alias("lines"))
 
 
 def dedup_lines(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -158,21 +206,28 @@ def deduplicated(documents: DataFrame) -> DataFrame:
 
 
 def _oracle() -> str:
-    space, variable = "[ \\t\\r\\f\\v]+", "[0-9@]|://"
-    bound = lambda j: f"({LEAD} + (n - {LEAD}) * {j} // {SEGMENTS})"
-    general = " UNION ALL ".join(
-        f"SELECT doc_id, line, n || ' {j} ' || array_to_string(tokens[1:{bound(j)}], ' ') || ' {WILDCARD.decode()} ' || array_to_string(tokens[{bound(j + 1)} + 1:], ' ') AS key FROM m WHERE n >= {MIN_GENERAL}" for j in range(SEGMENTS)
-    )
+    space, variable, wild = "[ \\t\\r\\f\\v]+", "[0-9@]|://", WILDCARD.decode()
     return f"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS content, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM documents),
 t AS (SELECT doc_id, line, list_filter(string_split_regex(content, '{space}'), lambda x: x <> '') AS raw FROM l),
-v AS (SELECT *, len(raw) AS n, list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '{variable}') THEN '{WILDCARD.decode()}' ELSE x END) AS masked FROM t),
-m AS (
-  SELECT doc_id, line, n, CASE WHEN 2 * len(list_filter(masked, lambda x: x = '{WILDCARD.decode()}')) <= n THEN masked ELSE raw END AS tokens FROM v WHERE n >= {MIN_TOKENS}),
-k AS (SELECT doc_id, line, array_to_string(tokens, ' ') AS key FROM m UNION ALL {general}),
-o AS (SELECT key, min(doc_id) AS owner FROM k GROUP BY key HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
-d AS (SELECT DISTINCT k.doc_id, k.line FROM k JOIN o ON k.key = o.key WHERE k.doc_id > o.owner)
+v AS (SELECT *, len(raw) AS n, list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '{variable}') THEN '{wild}' ELSE x END) AS masked FROM t),
+m AS (SELECT doc_id, line, n, CASE WHEN 2 * len(list_filter(masked, lambda x: x = '{wild}')) <= n THEN masked ELSE raw END AS tokens FROM v WHERE n > 0),
+w AS (SELECT tokens, n, n || ' ' || array_to_string(tokens[1:{LEAD}], ' ') AS leaf, min(doc_id) AS first, count(DISTINCT doc_id) AS docs FROM m GROUP BY tokens, n),
+lo AS (SELECT *, count(*) OVER (PARTITION BY leaf) AS m FROM w WHERE n >= {MIN_GENERAL}),
+tk AS (SELECT tokens, leaf, m, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM lo WHERE m > 1),
+c AS (SELECT *, count(*) OVER (PARTITION BY leaf, place, token) AS c FROM tk),
+g AS (
+  SELECT tokens, leaf, array_to_string(list(CASE WHEN c >= 2 AND c * {COMMON} >= m THEN token ELSE '' END ORDER BY place), ' ') AS path, count(*) FILTER (WHERE NOT (c >= 2 AND c * {COMMON} >= m)) AS fields, count(*) AS n
+  FROM c GROUP BY tokens, leaf),
+s AS (
+  SELECT g.tokens, min(lo.first) OVER p AS owner, g.leaf, g.path, lo.first
+  FROM g JOIN lo ON g.tokens = lo.tokens WHERE fields BETWEEN 1 AND greatest(1, g.n // {FIELD_EVERY}) WINDOW p AS (PARTITION BY g.leaf, g.path)),
+e AS (SELECT leaf, path FROM s GROUP BY leaf, path HAVING count(DISTINCT first) >= {MIN_FIRST}),
+o AS (
+  SELECT w.tokens, coalesce(x.owner, w.first) AS owner
+  FROM w LEFT JOIN (SELECT s.tokens, s.owner FROM s JOIN e ON s.leaf = e.leaf AND s.path = e.path) x ON w.tokens = x.tokens WHERE w.docs >= {MIN_DOCS} OR x.owner IS NOT NULL),
+d AS (SELECT m.doc_id, m.line FROM m JOIN o ON m.tokens = o.tokens WHERE m.doc_id > o.owner)
 SELECT l.doc_id, coalesce(string_agg(l.content, chr(10) ORDER BY l.line) FILTER (WHERE d.line IS NULL), '') AS text, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(d.line) AS INTEGER) AS n_dropped
 FROM l LEFT JOIN d ON l.doc_id = d.doc_id AND l.line = d.line GROUP BY l.doc_id"""
 
