@@ -8,9 +8,12 @@ the right of the edit, encodes that stretch and updates the sums above.
 
 Defined results: null text is empty; null or empty edits change nothing;
 edits apply in order, each to the text that the ones before have left, with
-bounds clipped to that text. A text outside the vocabulary's fast patterns,
-before or after an edit, is counted whole by the library. Every row is
-counted on its own, so repeated doc_ids stay apart.
+bounds clipped to that text. Texts of all scripts have their tree; one with
+the string of a special token, before or after an edit, and any text of a
+vocabulary that changes texts before it cuts them, is counted whole by the
+library. A very long text is one tree, of some 100 bytes a leaf besides its
+text. Every row is counted on its own, so repeated doc_ids stay apart; other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -70,13 +73,16 @@ class Document:
 
     def __init__(self, text: str, enc: Encoder):
         self.enc, self.reencoded = enc, 0
-        self.whole = None if enc.plain(text) and not enc.lower else text
+        self.whole = text if enc.lower or self._special(text) else None
         if self.whole is None:
-            pieces = enc.pieces(text)
+            pieces = enc.cuts(text)
             counts = enc.counts(pieces)
             cuts = range(0, len(pieces), LEAF)
             self.tree = SegmentTree(["".join(pieces[i : i + LEAF]) for i in cuts], [sum(counts[i : i + LEAF]) for i in cuts])
 
+    def _special(self, text: str) -> bool:
+        return any(s in text for s in self.enc.special)
+
     @property
     def tokens(self) -> int:
         return self.tree.tokens[1] if self.whole is None else len(self.enc.ids(self.whole)) // 4
@@ -93,8 +99,6 @@ class Document:
         stop = max(start, min(stop, self.chars))
         if start == stop and not new:
             return
-        if self.whole is None and not self.enc.plain(new):
-            self.whole = self.text()
         if self.whole is not None:
             self.whole = self.whole[:start] + new + self.whole[stop:]
             self.reencoded += len(self.whole)
@@ -108,7 +112,7 @@ class Document:
         safe = len(text) - (len(old) - (stop - before))  # the edit's end in text
         while True:
             ends = last + 1 >= len(tree.texts)
-            pieces = self.enc.pieces(text if ends else text + self._ahead(last + 1))
+            pieces = self.enc.cuts(text if ends else text + self._ahead(last + 1))
             if ends:
                 break
             # The scan has met the next leaf's border if a cut falls on it; from a border on, cuts depend only on what follows.
@@ -123,8 +127,7 @@ class Document:
             last += 1
             text += tree.texts[last]
         self.reencoded += len(text)
-        special = any(s in self._around(first, last, text) for s in self.enc.special)
-        if special:
+        if self._special(self._around(first, last, text)):
             self.whole = "".join(tree.texts[:first]) + text + "".join(tree.texts[last + 1 :])
             return
         tree.put(first, text, sum(self.enc.counts(pieces)))

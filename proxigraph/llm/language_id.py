@@ -14,9 +14,10 @@ one bundle a language; they are summed in two steps of grouping, and what
 reaches the driver and each task is one vector for each distinct label.
 
 Defined results: null text, text without a letter, and any text when there
-is nothing to learn from, give ``und`` and 0. Ties go to the language first
-in order. Rows without doc_id count as held out. Very long texts are read
-in pieces. Repeated rows are predicted (and learned from) one by one; other
+is nothing to learn from (an empty table, too), give ``und`` and 0. Ties go
+to the language first in order. Rows without doc_id count as held out. Very
+long texts are read in pieces, and of the n-grams of a piece NGRAMS at a
+time, so memory is bounded for scripts of any size. Repeated rows are predicted (and learned from) one by one; other
 columns are ignored.
 """
 
@@ -34,6 +35,8 @@ from proxigraph.llm.common import table, worker_state
 DIMENSIONS = 1024
 #: The pipeline's, where unrelated texts' cosines spread by about 0.01, and those of n-grams' vectors that are made at a time.
 STAGE_DIMENSIONS, AT_ONCE = 10_240, 1024
+#: N-grams whose vectors are made at a time: a large script has as many as a text has letters.
+NGRAMS = 4096
 SEED = 20_260
 #: Characters and documents that are counted at a time.
 CHARS, DOCS = 300_000, 128
@@ -53,18 +56,27 @@ def letter_vector(code: int, dimensions: int) -> np.ndarray:
 
 def ngram_vectors(letters: np.ndarray, trigrams: np.ndarray, dimensions: int, part: slice = slice(None)) -> np.ndarray:
     """letters: code points by local number; trigrams: rows of three local numbers; part: the dimensions that are wanted."""
-    v = np.array([letter_vector(int(c), dimensions) for c in letters], np.int8).reshape(-1, dimensions)
-    return np.roll(v, 2, 1)[:, part][trigrams[:, 0]] * v[:, part][trigrams[:, 1]] * np.roll(v, 1, 1)[:, part][trigrams[:, 2]]
-
-
-def bundled(counts: np.ndarray, letters: np.ndarray, trigrams: np.ndarray, dimensions: int) -> np.ndarray:
-    """Rows of counts times the n-grams' vectors, of which AT_ONCE dimensions are held at a time."""
-    parts = (slice(i, i + AT_ONCE) for i in range(0, dimensions, AT_ONCE))
-    return np.concatenate([counts @ ngram_vectors(letters, trigrams, dimensions, p).astype(counts.dtype) for p in parts], 1)
-
-
-def count_ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts by text and n-gram, the letters, and the n-grams as local letter numbers."""
+    used, local = np.unique(trigrams, return_inverse=True)
+    local = local.reshape(trigrams.shape)
+    v = np.array([letter_vector(int(c), dimensions) for c in letters[used]], np.int8).reshape(-1, dimensions)
+    return np.roll(v, 2, 1)[:, part][local[:, 0]] * v[:, part][local[:, 1]] * np.roll(v, 1, 1)[:, part][local[:, 2]]
+
+
+def bundled(of: np.ndarray, ngram: np.ndarray, n: np.ndarray, rows: int, letters: np.ndarray, trigrams: np.ndarray, dimensions: int, kind: type) -> np.ndarray:
+    """A bundle a row: n times the vector of each n-gram. The n-grams ascend; NGRAMS of them and AT_ONCE dimensions are held at a time."""
+    out = np.zeros((rows, dimensions), kind)
+    for first in range(0, len(trigrams), NGRAMS):
+        a, b = np.searchsorted(ngram, [first, first + NGRAMS])
+        width = min(NGRAMS, len(trigrams) - first)
+        counts = np.bincount(of[a:b] * width + ngram[a:b] - first, n[a:b], rows * width).reshape(rows, width).astype(kind)
+        for i in range(0, dimensions, AT_ONCE):
+            part = slice(i, i + AT_ONCE)
+            out[:, part] += counts @ ngram_vectors(letters, trigrams[first : first + NGRAMS], dimensions, part).astype(kind)
+    return out
+
+
+def count_ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, n-gram and count of those that occur, by n-gram; the letters, and the n-grams as local letter numbers."""
     joined = "\0".join(["", *texts, ""])
     codes = np.frombuffer(joined.encode("utf-32-le"), "<u4")
     owner = np.repeat(np.arange(-1, len(texts)), [1, *(len(t) + 1 for t in texts)])
@@ -83,8 +95,14 @@ def count_ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keys = local[keys]
     else:
         found, keys = np.unique(keys, return_inverse=True)
-    counts = np.bincount(owner[at] * len(found) + keys, minlength=len(texts) * len(found)).reshape(len(texts), len(found))
-    return counts, letters, np.stack([found // size**2, found // size % size, found % size], 1)
+    pairs = keys * len(texts) + owner[at]
+    if len(found) * len(texts) <= 1 << 22:
+        counts = np.bincount(pairs, minlength=1)
+        pairs = np.flatnonzero(counts)
+        counts = counts[pairs]
+    else:
+        pairs, counts = np.unique(pairs, return_counts=True)
+    return pairs % len(texts), pairs // len(texts), counts, letters, np.stack([found // size**2, found // size % size, found % size], 1)
 
 
 def pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
@@ -118,13 +136,12 @@ def _bundles(dimensions: int):
         for batch in batches:
             langs, texts = batch["lang"].to_pylist(), batch["text"].to_pylist()
             for at, group in pieces(texts):
-                counts, letters, trigrams = count_ngrams(group)
+                of, ngram, n, letters, trigrams = count_ngrams(group)
                 if not len(trigrams):
                     continue
-                own = np.array([langs[i] for i in at], object)
-                names = sorted(set(own))
-                by_lang = np.array([counts[own == n].sum(0) for n in names], np.float64)
-                for name, bundle in zip(names, bundled(by_lang, letters, trigrams, dimensions), strict=True):
+                names = sorted({langs[i] for i in at})
+                number = np.array([names.index(langs[i]) for i in at])
+                for name, bundle in zip(names, bundled(number[of], ngram, n, len(names), letters, trigrams, dimensions, np.float64), strict=True):
                     sums[name] = sums.get(name, 0) + bundle.astype(np.int64)
         part = TaskContext.get().partitionId() % FAN_IN
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([part] * len(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.int64()))], ["lang", "part", "bundle"])
@@ -154,10 +171,10 @@ def _predict(names: list[str], prototypes: np.ndarray, dimensions: int):
             bundles = np.zeros((len(texts), dimensions), np.float32)
             lettered = np.zeros(len(texts), bool)
             for at, group in pieces(texts):
-                counts, letters, trigrams = count_ngrams(group)
+                of, ngram, n, letters, trigrams = count_ngrams(group)
                 if len(trigrams):
-                    np.add.at(bundles, at, bundled(counts.astype(np.float32), letters, trigrams, dimensions))
-                    np.logical_or.at(lettered, at, counts.any(1))
+                    np.add.at(bundles, at, bundled(of, ngram, n, len(group), letters, trigrams, dimensions, np.float32))
+                    lettered[np.array(at)[of]] = True
             best, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             if names:
                 cosines = np.zeros((len(texts), len(names)))

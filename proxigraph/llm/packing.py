@@ -5,18 +5,24 @@ earns a quantum of ``window`` tokens times its share of the mixture, serves
 the whole tokens of its credit and carries the fraction (its deficit) on.
 A queue that runs dry leaves the others to share the round. The rounds'
 output is one stream, cut into sequences of ``seq_len``, so each window
-holds the target proportions to within a token or so a queue and nothing is
-padded but the last sequence.
+holds the target proportions to within a token or so a queue (at its borders,
+to within a queue's part of a round) and nothing is padded but the last
+sequence.
 
 What a queue has served after any number of rounds has a closed form, so a
 task that knows the place of a document in its queue knows the deficits of
 all queues at that round: they carry across windows and partitions without
 a sequential pass. Places need one sum a queue and input block.
 
+Every source has a queue of its own, however many there are: the driver and
+each task hold one number a source. A source's part of a window is as long as
+its share, so with more sources than tokens in a window a source is served in
+some of the rounds only, one token each.
+
 Defined results: null text is an empty document (only the end id); a null
-source is a queue of its own; sources beyond the ``max_queues`` with most
-tokens share one further queue, none of their documents is dropped. Rows
-that share a doc_id are packed one by one. Other columns are ignored.
+source is a queue of its own. Rows that share a doc_id are packed one by one;
+a very long document is cut as any other. Other columns are ignored. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +39,9 @@ from pyspark.sql import functions as F
 from proxigraph.llm.common import table, through_files
 from proxigraph.llm.pretokens import MEMO, encoder, tokenizer_path
 
-SEQ_LEN, END, MAX_QUEUES = 2048, 1, 255
+SEQ_LEN, END = 2048, 1
+#: Numbers of queues and rounds that a task remembers.
+KNOWN = 4_000_000
 TOKENS_SCHEMA = "block int, place long, source string, doc_id long, n long, ids binary"
 PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long, ids binary"
 
@@ -124,7 +132,7 @@ def _cut(plan: Schedule, seq_len: int, with_ids: bool):
         def of(i: int) -> tuple[list[int], list[int], list[int]]:
             """What each queue has served before and after the round, and where its part of the stream begins."""
             if i not in known:
-                if len(known) >= 20_000:
+                if len(known) * len(plan.sizes) >= KNOWN:
                     known.clear()
                 before, after = plan.served(i), plan.served(i + 1)
                 at, starts = sum(before), []
@@ -166,7 +174,7 @@ def _cut(plan: Schedule, seq_len: int, with_ids: bool):
     return run
 
 
-def pack(documents: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, window: int | None = None, targets: dict[str | None, float] | None = None, max_queues: int = MAX_QUEUES, end: int = END, with_ids: bool = True, memo: int = MEMO) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, window: int | None = None, targets: dict[str | None, float] | None = None, end: int = END, with_ids: bool = True, memo: int = MEMO) -> DataFrame:
     """documents: doc_id, source, text. One row a piece, see PIECE_SCHEMA; ids are little-endian uint32.
 
     targets: tokens of a source in a window, as relative weights; by default the sources' shares of all tokens.
@@ -179,18 +187,16 @@ def pack(documents: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, window: i
     tokens = through_files(rows.mapInArrow(_tokenise(tokenizer, end, memo), TOKENS_SCHEMA), "packing-tokens")
     blocks = tokens.groupBy("source", "block").agg(F.sum("n").alias("n"))
     totals = blocks.groupBy("source").agg(F.sum("n").alias("n"))
-    top = [(r["source"], r["n"]) for r in totals.orderBy(F.col("n").desc(), F.col("source")).limit(max_queues).collect()]
+    # One row a source, as a mixture names each; documents have many fewer sources than there are documents.
+    top = [(r["source"], r["n"]) for r in totals.orderBy(F.col("n").desc(), F.col("source")).collect()]
     queue_of = {s: i for i, (s, _) in enumerate(top)}
     # Sources are matched as values, not by position, so a recomputed stage finds the same queues.
     queues = spark.createDataFrame([(s, i) for s, i in queue_of.items()] or [(None, 0)], "source string, queue int")
-    numbered = blocks.join(F.broadcast(queues.withColumnRenamed("source", "known")), F.col("source").eqNullSafe(F.col("known")), "left").withColumn("queue", F.coalesce("queue", F.lit(len(top))))
+    numbered = blocks.join(queues.withColumnRenamed("source", "known"), F.col("source").eqNullSafe(F.col("known")))
     order = Window.partitionBy("queue").orderBy("source", "block").rowsBetween(Window.unboundedPreceding, -1)
     base = through_files(numbered.select("source", "block", "queue", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")), "packing-queues")
-    rest = base.where(F.col("queue") == len(top)).limit(1).count()
     sizes = [n for _, n in top]
-    if rest:
-        sizes.append(totals.agg(F.sum("n")).first()[0] - sum(sizes))
-    shares = list(sizes) if targets is None else [round(1e6 * targets.get(s, 0)) for s, _ in top] + [0] * (len(sizes) - len(top))
+    shares = list(sizes) if targets is None else [round(1e6 * targets.get(s, 0)) for s, _ in top]
     plan = Schedule(sizes, shares, window or seq_len)
     # base has a row for each source and input block; Spark broadcasts it only below its own size threshold.
     placed = tokens.join(base.withColumnsRenamed({"source": "of", "block": "in"}), F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("in")))

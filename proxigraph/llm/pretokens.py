@@ -103,6 +103,12 @@ class Encoder:
         """Pre-tokens of a plain text."""
         return self.cut(text.lower() if self.lower else text)
 
+    def cuts(self, text: str) -> list[str]:
+        """Pre-tokens of any text without special tokens' strings: by the pattern where it covers the text, else by the library."""
+        if self.plain(text):
+            return self.pieces(text)
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids, without special tokens of the library's own."""
         if self.plain(text):

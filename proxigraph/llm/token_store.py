@@ -14,9 +14,15 @@ before it. Blocks are rows of a table written by Spark in doc_id order, so
 any store that Spark writes will do and its commit protocol covers lost
 executors. A document never spans blocks.
 
+Blocks are stored without compression, and ``lookup`` reads single tokens of
+named documents; ``read_digest`` reads one token of each document by itself
+besides the whole block, and raises if they differ.
+
 Defined results: a null text counts as empty (its only token is the end id);
 a null doc_id sorts first; rows that share a doc_id are stored one by one,
-in the order of their texts. Other columns are ignored.
+in the order of their texts, over as many shards as there are beginnings of
+texts. A very long document is one block. Other columns are ignored. An empty
+table gives an empty store.
 """
 
 from __future__ import annotations
@@ -131,8 +137,10 @@ def _writer(path: str, end: int):
 
 def write_tokens(documents: DataFrame, folder: str, tokenizer: str, end: int = END) -> None:
     """Encodes and writes all documents in ascending doc_id order; a shard is a range of doc_ids."""
-    rows = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(_writer(tokenizer, end), BLOCK_SCHEMA).write.option("compression", "zstd").parquet(folder)
+    rows = documents.select("doc_id", "text").withColumn("_start", F.substring(F.coalesce("text", F.lit("")), 1, 32))
+    rows = rows.repartitionByRange("doc_id", "_start").sortWithinPartitions("doc_id", "_start", "text").drop("_start")
+    # Not compressed, as a token's bytes are to be found without unpacking the block.
+    rows.mapInArrow(_writer(tokenizer, end), BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(folder)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +151,9 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum(block.lengths)
             starts = ends - block.lengths
             crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            for at in ((starts + ends) // 2).tolist():
+                if block[at] != int.from_bytes(data[4 * at : 4 * at + 4], "little"):
+                    raise ValueError(f"token {first + at} of the store reads differently by itself")
             yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids, mask=~block.known), pa.array(starts + first), pa.array(block.lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
@@ -160,6 +171,37 @@ def read_digest(spark: SparkSession, folder: str) -> DataFrame:
     return read_blocks(spark, folder).select("first", "payload").mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _directory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for shard, number, payload in zip(batch["shard"].to_pylist(), batch["block"].to_pylist(), batch["payload"], strict=True):
+            block = Block(payload.as_py())
+            n = len(block.lengths)
+            yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids, mask=~block.known), pa.array(np.full(n, shard, np.int32)), pa.array(np.full(n, number, np.int32)), pa.array(np.cumsum(block.lengths) - block.lengths), pa.array(block.lengths)], ["doc_id", "shard", "block", "at", "n_tokens"])
+
+
+def directory(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, shard, block, at (tokens of the block before the document), n_tokens of every stored document."""
+    return spark.read.schema(BLOCK_SCHEMA).parquet(folder).select("shard", "block", "payload").mapInArrow(_directory, "doc_id long, shard int, block int, at long, n_tokens long")
+
+
+def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for payload, wanted in zip(batch["payload"], batch["wanted"].to_pylist(), strict=True):
+            block = Block(payload.as_py())
+            cols = zip(*((w["doc_id"], w["i"], block[w["at"]]) for w in wanted), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "i", "token"])
+
+
+def lookup(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
+    """wanted: doc_id, i. doc_id, i and token: the document's i-th token (from 0), read by itself; nothing for places beyond its end.
+
+    A document's null id is asked for as null; rows that share an id give a row each. Requests meet their block in groups of up to 1024.
+    """
+    at = wanted.select(F.col("doc_id").alias("of"), F.col("i").cast("long").alias("i")).join(directory(spark, folder), F.col("of").eqNullSafe(F.col("doc_id"))).where("i >= 0 and i < n_tokens")
+    asked = at.withColumn("group", F.floor((F.col("at") + F.col("i")) / 1024)).groupBy("shard", "block", "group").agg(F.collect_list(F.struct("doc_id", "i", (F.col("at") + F.col("i")).alias("at"))).alias("wanted"))
+    return asked.join(spark.read.schema(BLOCK_SCHEMA).parquet(folder), ["shard", "block"]).select("payload", "wanted").mapInArrow(_picked, "doc_id long, i long, token long")
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "token-store")
     write_tokens(table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"))

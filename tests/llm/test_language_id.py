@@ -20,19 +20,41 @@ def brute(text, dimensions):
     return total
 
 
+def bundle(group):
+    of, ngram, n, letters, trigrams = L.count_ngrams(group)
+    return L.bundled(of, ngram, n, len(group), letters, trigrams, 64, np.float64).astype(np.int64).sum(0)
+
+
+def test_many_ngrams_in_little_memory():
+    """A text of a large script, whose trigrams all differ."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9FA0, 300_000)))
+    L.bundled(*(x[:1] for x in L.count_ngrams(["ab"])[:3]), 1, *L.count_ngrams(["ab"])[3:], 1024, np.float32)
+    ((_, group),) = L.pieces([text])
+    for c in set(text):
+        L.letter_vector(ord(c), 1024)
+    tracemalloc.start()
+    of, ngram, n, letters, trigrams = L.count_ngrams(group)
+    assert len(trigrams) > 290_000
+    L.bundled(of, ngram, n, 1, letters, trigrams, 1024, np.float32)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
 @pytest.mark.parametrize("text", ["", "a", "A b", "Été, où? 12 naïve", "中文 text", "x" * 300, "".join(chr(0x4E00 + i) for i in range(400))])
 def test_bundles(text):
     total = np.zeros(64, np.int64)
     for _, group in L.pieces([text]):
-        counts, letters, trigrams = L.count_ngrams(group)
-        total += (counts @ L.ngram_vectors(letters, trigrams, 64).astype(np.int64)).sum(0)
+        total += bundle(group)
     assert total.tolist() == brute(text, 64).tolist()
 
 
 def test_long_texts_are_read_whole(monkeypatch):
     monkeypatch.setattr(L, "CHARS", 50)
     text = "several words of a long text " * 40
-    total = sum((c @ L.ngram_vectors(le, t, 64).astype(np.int64)).sum(0) for _, g in L.pieces([text]) for c, le, t in [L.count_ngrams(g)])
+    total = sum(bundle(g) for _, g in L.pieces([text]))
     assert total.tolist() == brute(text, 64).tolist()
 
 

@@ -39,7 +39,7 @@ def test_edits_equal_a_full_count():
     path = pretokens.tokenizer_path(BYTE)
     enc = pretokens.encoder(path)
     rng = random.Random(3)
-    words = ["word", "don't", "  ", "\n", "x1", "!?", " ", "we'll", "<|endof", "text|>", "é"]
+    words = ["word", "don't", "  ", "\n", "x1", "!?", " ", "we'll", "<|endof", "text|>", "é", "“quoted”", "слово", "中文字", "😀", "\u3000", "e\u0301", "—", "٣٤"]
     for trial in range(150):
         text = " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 5, 200, 900])))
         doc = edit_counts.Document(text, enc)
@@ -58,6 +58,14 @@ def test_edits_scan_little_of_a_long_text():
     doc = edit_counts.Document("some words here " * 20_000, enc)
     doc.edit(100_000, 100_010, "changed")
     assert doc.reencoded < 2_000
+    doc = edit_counts.Document("слово “здесь” 中文 " * 20_000, enc)
+    doc.edit(100_000, 100_010, "другое")
+    assert doc.whole is None and doc.reencoded < 2_000
+
+
+def test_counts_of_no_documents(docs_of):
+    docs = docs_of([(1, "x")]).limit(0)
+    assert edit_counts.count_with_edits(docs.withColumn("edits", edit_counts.revision()), pretokens.tokenizer_path(BYTE)).count() == 0
 
 
 def test_count_query(spark, docs_of):
@@ -110,7 +118,7 @@ def test_packing_every_id_once(spark, docs_of):
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.choice([0, 1, 30, 400]))), None, rng.choice(["a", "a", "a", "b", "c", None])) for i in range(120)]
     rows += [(500, None, None, "b"), (501, "long " * 20_000, None, "a")]
-    pieces = packing.pack(docs_of(rows, 5), pretokens.tokenizer_path(BYTE), max_queues=2).collect()
+    pieces = packing.pack(docs_of(rows, 5), pretokens.tokenizer_path(BYTE)).collect()
     check_packing(pieces, {r[0]: r[1] for r in rows}, 2048)
     for targets in ({"a": 1, "b": 3}, {"c": 1}):
         pieces = packing.pack(docs_of(rows, 3), pretokens.tokenizer_path(BYTE), seq_len=256, targets=targets).collect()
@@ -129,6 +137,27 @@ def test_packing_holds_proportions(spark, docs_of):
             assert abs(big - 0.75 * 2048) <= 3 and small + big == 2048
 
 
+def test_packing_holds_proportions_of_many_sources(spark, docs_of):
+    rows = [(i, "word " * (20 + i % 3), None, f"s{i % 300}") for i in range(900)]
+    pieces = packing.pack(docs_of(rows, 3), pretokens.tokenizer_path(BYTE)).collect()
+    check_packing(pieces, {r[0]: r[1] for r in rows}, 2048)
+    total, windows = {}, {}
+    for p in pieces:
+        source = rows[p["doc_id"]][3]
+        total[source] = total.get(source, 0) + p["length"]
+        windows.setdefault(p["sequence_id"], {}).setdefault(source, 0)
+        windows[p["sequence_id"]][source] += p["length"]
+    everything = sum(total.values())
+    served = dict.fromkeys(total, 0)
+    for s in sorted(windows)[:-1]:
+        part = {x: 2048 * n / everything for x, n in total.items()}
+        # A round's part of the few queues at a window's border falls to one side of it; nothing adds up.
+        assert sum(abs(windows[s].get(x, 0) - part[x]) > 2 for x in total) < len(total) / 6
+        for x in total:
+            served[x] += windows[s].get(x, 0)
+            assert abs(served[x] - (s + 1) * part[x]) <= part[x] + 2
+
+
 def test_packing_empty_and_sequences(spark, docs_of):
     assert packing.pack(docs_of([(1, "x")]).limit(0), pretokens.tokenizer_path(BYTE)).count() == 0
     pieces = packing.pack(docs_of([(1, "one two three"), (2, "four")]), pretokens.tokenizer_path(BYTE))
@@ -175,6 +204,19 @@ def test_store_round_trip(spark, docs_of, monkeypatch):
         at += len(ids)
 
 
+def test_lookup_of_single_tokens(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(token_store, "BLOCK_TOKENS", 300)
+    texts = {i: t for i, t in enumerate(["", "LOUD words", "long text " * 500, *fuzz(20)])}
+    folder = scratch(spark, "store-lookup")
+    token_store.write_tokens(docs_of([*texts.items(), (None, "no id")], 3), folder, pretokens.tokenizer_path(WORD))
+    rng = random.Random(2)
+    ids = {d: ids_of(WORD, t) for d, t in [*texts.items(), (None, "no id")]}
+    wanted = [(d, i) for d in ids for i in {0, len(ids[d]) - 1, rng.randrange(len(ids[d]))}]
+    got = token_store.lookup(spark, folder, spark.createDataFrame([*wanted, (0, 5), (1, -1), (999, 0)], "doc_id long, i long")).collect()
+    key = lambda x: (x[0] is None, x)
+    assert sorted(((r["doc_id"], r["i"], r["token"]) for r in got), key=key) == sorted(((d, i, ids[d][i]) for d, i in wanted), key=key)
+
+
 def test_store_empty(spark, docs_of):
     folder = scratch(spark, "store-empty")
     token_store.write_tokens(docs_of([(1, "x")]).where(F.lit(False)), folder, pretokens.tokenizer_path(WORD))

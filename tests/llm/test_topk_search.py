@@ -14,20 +14,17 @@ def units(v):
 
 
 def brute(rows, k, is_query):
-    good = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            good[i] = min(good.get(i, v), v)
+    good = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in good:
+    for at, (q, vec) in enumerate(good):
         if is_query(q):
-            scores = [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(units(good[q]), units(v), strict=False)))), i) for i, v in good.items() if i != q]
+            scores = [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(units(vec), units(v), strict=False)))), i) for other, (i, v) in enumerate(good) if other != at]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k])]
     return sorted(out)
 
 
 def table(spark, rows):
-    return spark.createDataFrame(rows, "id long, vec array<double>").repartition(3)
+    return S.numbered(spark.createDataFrame(rows, "id long, vec array<double>").repartition(3))
 
 
 def test_against_all_pairs(spark):
@@ -60,6 +57,32 @@ def test_large_components(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute(rows, 5, lambda q: True)
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(50, [1.0, 2.0]), (50, [1.0, 2.0]), (50, [3.0, 0.0]), (7, [0.5, 0.5]), (7, [0.5, 0.5])]
+    df = table(spark, rows)
+    got = S.topk_search(df, df.where("id = 50"), 3).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute(rows, 3, lambda q: q == 50)
+    assert sum(r["vec_id"] == 50 for r in got) == 6
+
+
+def test_groups_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "GROUP", 2)
+    rng = random.Random(8)
+    rows = [(i, [rng.random() for _ in range(3)]) for i in range(60)]
+    df = table(spark, rows)
+    got = S.topk_search(df, df, 4, 7, 9, 3).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute(rows, 4, lambda q: True)
+
+
+def test_sql_gives_the_same_rows(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.001/embeddings.parquet'")
+    got = S.op5_exact_topk(spark, "/root/testdata/sf0.001").select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(S.ORACLE).fetchall())
+
+
 def test_tile_scores_are_exact():
     rng = np.random.default_rng(4)
     for scale in (10, 2**20, 2**28, 2**40):
