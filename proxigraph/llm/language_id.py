@@ -23,6 +23,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,8 @@ DIMENSIONS = 1024
 STAGE_DIMENSIONS, AT_ONCE = 10_240, 1024
 #: N-grams whose vectors are made at a time: a large script has as many as a text has letters.
 NGRAMS = 4096
+#: N-grams that a task counts before it bundles them.
+COUNTED = 200_000
 SEED = 20_260
 #: Characters and documents that are counted at a time.
 CHARS, DOCS = 300_000, 128
@@ -133,6 +136,20 @@ def _bundles(dimensions: int):
         from pyspark import TaskContext
 
         sums: dict[str, np.ndarray] = {}
+        counted: dict[str, Counter] = {}
+
+        def flush() -> None:
+            """Bundles of what has been counted: each n-gram's vector is made once for many texts."""
+            used = np.array(sorted({key for c in counted.values() for key in c}), np.int64).reshape(-1, 3)
+            letters, trigrams = np.unique(used, return_inverse=True)
+            number = {tuple(key): i for i, key in enumerate(used.tolist())}
+            names = sorted(counted)
+            at = sorted((number[key], i, n) for i, name in enumerate(names) for key, n in counted[name].items())
+            ngram, of, n = np.array(at, np.int64).reshape(-1, 3).T
+            for name, bundle in zip(names, bundled(of, ngram, n, len(names), letters, trigrams.reshape(-1, 3), dimensions, np.float64), strict=True):
+                sums[name] = sums.get(name, 0) + bundle.astype(np.int64)
+            counted.clear()
+
         for batch in batches:
             langs, texts = batch["lang"].to_pylist(), batch["text"].to_pylist()
             for at, group in pieces(texts):
@@ -141,8 +158,15 @@ def _bundles(dimensions: int):
                     continue
                 names = sorted({langs[i] for i in at})
                 number = np.array([names.index(langs[i]) for i in at])
-                for name, bundle in zip(names, bundled(number[of], ngram, n, len(names), letters, trigrams, dimensions, np.float64), strict=True):
-                    sums[name] = sums.get(name, 0) + bundle.astype(np.int64)
+                totals = np.bincount(number[of] * len(trigrams) + ngram, n, len(names) * len(trigrams)).astype(np.int64).reshape(len(names), -1)
+                codes = letters[trigrams]
+                for name, total in zip(names, totals, strict=True):
+                    some = np.flatnonzero(total)
+                    counted.setdefault(name, Counter()).update(dict(zip(map(tuple, codes[some].tolist()), total[some].tolist(), strict=True)))
+                if sum(map(len, counted.values())) > COUNTED:
+                    flush()
+        if counted:
+            flush()
         part = TaskContext.get().partitionId() % FAN_IN
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([part] * len(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.int64()))], ["lang", "part", "bundle"])
 

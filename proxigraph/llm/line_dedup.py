@@ -22,7 +22,9 @@ the shuffle, so a template that a third of all documents share is one row a
 task; the join back to its lines is one that Spark can split. Tokens are
 looked at for templates only whose leaf holds several: a bitmap of 2^BITS bits
 (all that is broadcast) lets most other lines pass in the second reading, and
-a join settles the rest.
+a join settles the rest. Of these, a template is cut into one stretch more than
+it may have fields, so one stretch has none: only templates that share one with
+others have their fields looked for.
 
 Defined results: null text is empty. Lines end at ``\\n``; blank lines are
 kept always. A line of mostly variable tokens is its own template, so rows of
@@ -57,7 +59,7 @@ WILDCARD = b"<*>"
 GLUE = b" "
 _variable = re.compile(rb"[0-9@]|://").search
 LINE_SCHEMA = "row long, doc long, line int, n int, leaf long, k1 long, k2 int"
-TOKEN_SCHEMA = "k1 long, k2 int, place int, token long"
+TOKEN_SCHEMA = "k1 long, k2 int, tokens array<int>, stretches array<long>"
 LAST = 2**63 - 1
 
 
@@ -100,6 +102,12 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def stretches(tokens: list[bytes]) -> list[bytes]:
+    """One more than the fields that a template may have."""
+    n, parts = len(tokens), max(1, len(tokens) // FIELD_EVERY) + 1
+    return [b"%d %s" % (j, GLUE.join(tokens[n * j // parts : n * (j + 1) // parts])) for j in range(parts)]
+
+
 def _tokens(bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """text -> TOKEN_SCHEMA of the templates that are in the bitmap, each about once a task."""
@@ -109,8 +117,8 @@ def _tokens(bitmap):
         sent: set[bytes] = set()
         for batch in batches:
             keys: list[bytes] = []
-            tokens: list[int] = []
-            sizes: list[int] = []
+            tokens: list[np.ndarray] = []
+            parts: list[np.ndarray] = []
             for text in batch["text"].to_pylist():
                 for line in (text or "").encode().split(b"\n"):
                     found = template(line)
@@ -123,14 +131,11 @@ def _tokens(bitmap):
                             sent.clear()
                         sent.add(key)
                         keys.append(key)
-                        tokens += map(short, found)
-                        sizes.append(len(found))
+                        tokens.append((np.array([*map(short, found)], np.uint64) >> np.uint64(32)).astype("<u4").view("<i4"))
+                        leaf = b"%d %s " % (len(found), GLUE.join(found[:LEAD]))
+                        parts.append(np.array([short(leaf + s) for s in stretches(found)], np.uint64).view("<i8"))
             whole = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
-            n = np.array(sizes, np.int64)
-            of = np.repeat(np.arange(len(n)), n)
-            place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            cols = (whole[of, 0].astype("<i8"), (whole[of, 1] & np.uint64(0xFFFFFFFF)).astype("<u4").view("<i4"), place.astype(np.int32), np.array(tokens, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k1", "k2", "place", "token"])
+            yield pa.RecordBatch.from_arrays([pa.array(whole[:, 0].astype("<i8")), pa.array((whole[:, 1] & np.uint64(0xFFFFFFFF)).astype("<u4").view("<i4")), pa.array(tokens, pa.list_(pa.int32())), pa.array(parts, pa.list_(pa.int64()))], ["k1", "k2", "tokens", "stretches"])
 
     return run
 
@@ -151,17 +156,24 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
 
 
 def _generalised(documents: DataFrame, wholes: DataFrame) -> DataFrame:
-    """wholes: k1, k2, leaf, n, first. k1, k2 and first (the first document) of the templates that have become one with others."""
-    leaves = wholes.where(F.col("n") >= MIN_GENERAL).groupBy("leaf").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    loose = through_files(wholes.where(F.col("n") >= MIN_GENERAL).join(leaves, "leaf"), "loose-templates")
-    bitmap = documents.sparkSession.sparkContext.broadcast(_bitmap(loose))
-    tokens = documents.select("text").mapInArrow(_tokens(bitmap), TOKEN_SCHEMA).distinct()
-    tokens = through_files(tokens.join(loose, ["k1", "k2"]).select("k1", "k2", "leaf", "m", "place", "token"), "loose-tokens")
-    common = tokens.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("c"), F.first("m").alias("m")).where((F.col("c") >= 2) & (F.col("c") * COMMON >= F.col("m"))).select("leaf", "place", "token", F.lit(True).alias("common"))
-    marked = tokens.join(common, ["leaf", "place", "token"], "left").withColumn("fixed", F.coalesce("common", F.lit(False)))
-    made = marked.groupBy("k1", "k2", "leaf").agg(F.array_sort(F.collect_list(F.struct("place", F.when(F.col("fixed"), F.col("token")).alias("token")))).alias("path"), F.count_if(~F.col("fixed")).alias("fields"), F.count(F.lit(1)).alias("n"))
-    made = made.where((F.col("fields") > 0) & (F.col("fields") <= F.greatest(F.lit(1), F.floor(F.col("n") / FIELD_EVERY)))).select("k1", "k2", "leaf", F.xxhash64("path").alias("t1"), F.hash("path").alias("t2"))
-    made = made.join(loose.select("k1", "k2", "first"), ["k1", "k2"])
+    """wholes: k1, k2, leaf, n, doc, row (of the first document). k1, k2, owner and firsts of the templates that have become one with others."""
+    long = wholes.where(F.col("n") >= MIN_GENERAL).drop("n")
+    leaves = long.groupBy("leaf").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    loose = through_files(long.join(leaves, "leaf"), "loose-templates")
+    bitmap = documents.sparkSession.sparkContext.broadcast(_bitmap(loose.select("k1")))
+    found = documents.select("text").mapInArrow(_tokens(bitmap), TOKEN_SCHEMA).groupBy("k1", "k2").agg(F.first("tokens").alias("tokens"), F.first("stretches").alias("stretches"))
+    loose = through_files(found.join(loose, ["k1", "k2"]), "loose-tokens")
+    parts = loose.select("k1", "k2", F.explode("stretches").alias("stretch"))
+    shared = parts.groupBy("stretch").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_FIRST).select("stretch")
+    likely = through_files(loose.drop("stretches").join(parts.join(shared, "stretch").select("k1", "k2").distinct(), ["k1", "k2"], "left_semi"), "likely-templates")
+    # How many of its leaf's templates have a token at its place: of all, as the others count too.
+    around = loose.select("leaf", "tokens").join(likely.select("leaf").distinct(), "leaf", "left_semi")
+    place = lambda df, *more: df.select(*more, "leaf", F.posexplode("tokens").alias("place", "token")).withColumn("at", F.xxhash64("leaf", "place", "token"))
+    counts = place(around).groupBy("at").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    marked = place(likely, "k1", "k2", "m", "doc", "row").join(counts, "at", "left").withColumn("fixed", F.coalesce(F.col("c") * COMMON >= F.col("m"), F.lit(False)))
+    made = marked.groupBy("k1", "k2", "leaf").agg(F.array_sort(F.collect_list(F.struct("place", F.when(F.col("fixed"), F.col("token")).alias("token")))).alias("path"), F.count_if(~F.col("fixed")).alias("fields"), F.count(F.lit(1)).alias("n"), F.first(_document("doc", "row")).alias("first"))
+    made = made.where((F.col("fields") > 0) & (F.col("fields") <= F.greatest(F.lit(1), F.floor(F.col("n") / FIELD_EVERY)))).select("k1", "k2", "leaf", "first", F.xxhash64("path").alias("t1"), F.hash("path").alias("t2"))
+    made = through_files(made, "general-templates")
     same = made.groupBy("leaf", "t1", "t2").agg(F.count_distinct("first").alias("firsts"), F.min("first").alias("owner")).where(F.col("firsts") >= MIN_FIRST)
     return made.join(same, ["leaf", "t1", "t2"]).select("k1", "k2", "owner", "firsts")
 
@@ -170,11 +182,12 @@ def dropped_lines(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """documents: doc_id, text, _row (its number, the same each time it is read). Returns row and lines: numbers (from 0) of the lines to drop; one row a row that has any."""
     rows = documents.select(F.col("_row").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text")
     lines = through_files(rows.mapInArrow(_lines, LINE_SCHEMA), "lines")
-    document = _document("doc", "row")
-    many = (F.max(document) != F.min(document)) if min_docs == 2 else F.count_distinct(document) >= min_docs
-    wholes = through_files(lines.groupBy("k1", "k2").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.min(document).alias("first"), many.alias("many")), "templates")
+    document, nameless = _document("doc", "row"), F.when(F.col("doc") == LAST, F.col("row"))
+    found = lines.groupBy("k1", "k2").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.min("doc").alias("d"), F.max("doc").alias("last"), F.min(nameless).alias("r"), F.max(nameless).alias("last_row"), *([] if min_docs == 2 else [F.count_distinct(document).alias("docs")]))
+    many = (F.col("d") < F.col("last")) | ((F.col("d") == LAST) & (F.col("r") < F.col("last_row"))) if min_docs == 2 else F.col("docs") >= min_docs
+    wholes = through_files(found.select("k1", "k2", "leaf", "n", F.col("d").alias("doc"), F.col("r").alias("row"), many.alias("many")), "templates")
     general = _generalised(rows, wholes.drop("many")).where(F.col("firsts") >= min_docs).drop("firsts")
-    owners = wholes.join(general, ["k1", "k2"], "left").where("many or owner is not null").select("k1", "k2", F.coalesce("owner", "first").alias("owner"))
+    owners = wholes.join(general, ["k1", "k2"], "left").where("many or owner is not null").select("k1", "k2", F.coalesce("owner", document).alias("owner"))
     return lines.select("row", "doc", "line", "k1", "k2").join(owners, ["k1", "k2"]).where(document > F.col("owner")).groupBy("row").agg(F.collect_set("line").alias("lines"))
 
 
