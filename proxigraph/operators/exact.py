@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from proxigraph.functions import distance as D
 from proxigraph.sources.vectors import check_k, shape
 
-BLOCK = 2048
+BLOCK, LEAST_BLOCK = 2048, 512
 STRATEGIES = ("gemm", "native", "norms", "tiled", "sort_slice")
 
 
@@ -122,9 +122,9 @@ def _products(k: int, metric: D.Metric):
 
 
 def _gemm(vecs: DataFrame, k: int, metric: D.Metric, parallelism: int | None, block: int, n: int) -> DataFrame:
-    # A small table is cut finer, so that all cores have blocks to pair.
+    # A small table is cut finer, so that the pairs of blocks are about twice the cores; a block is sent once for each other, so none is small.
     cores = parallelism or vecs.sparkSession.sparkContext.defaultParallelism
-    block = max(1, min(block, math.ceil(n / (2 * cores))))
+    block = min(block, max(LEAST_BLOCK, math.ceil(n / math.ceil(math.sqrt(2 * cores)))))
     packed = vecs.withColumn("blk", _block_of(n, block)).groupBy("blk").applyInArrow(_pack, "blk int, n int, ids binary, m binary")
     a, b = (packed.select(*[F.col(c).alias(f"{c}_{side}") for c in packed.columns]) for side in "ab")
     return best(_paired(a, b, math.ceil(n / block)).mapInArrow(_products(k, metric), "src long, dst long, dist double"), k)

@@ -17,7 +17,9 @@ from proxigraph.operators import graph as G
 from proxigraph.operators import nn_descent as N
 from proxigraph.operators import recall as R
 from proxigraph.operators.exact import all_pairs, exact_knn
+from proxigraph.sources import ground_truth
 from proxigraph.sources.vectors import load_vectors, shape
+from proxigraph.storage import scratch, through_files
 
 K = 10
 SHARDS = 7
@@ -116,14 +118,14 @@ def neighbors_of(spark, sf_dir):
     return G.neighbors_of(_graph(spark, sf_dir), 0)
 
 
-@_query("pair_distances_l2", f"WITH {L2_SQL} SELECT src, dst, dist FROM pairs WHERE src % 25 = 0")
+@_query("pair_distances_l2", f"WITH {L2_SQL} SELECT src, dst, dist FROM pairs")
 def pair_distances_l2(spark, sf_dir):
-    return all_pairs(load_vectors(spark, sf_dir)).where("src % 25 = 0")
+    return all_pairs(load_vectors(spark, sf_dir))
 
 
-@_query("pair_distances_ip", f"WITH {IP_SQL} SELECT src, dst, dist FROM pairs WHERE src % 25 = 0")
+@_query("pair_distances_ip", f"WITH {IP_SQL} SELECT src, dst, dist FROM pairs")
 def pair_distances_ip(spark, sf_dir):
-    return all_pairs(load_vectors(spark, sf_dir), "inner_product").where("src % 25 = 0")
+    return all_pairs(load_vectors(spark, sf_dir), "inner_product")
 
 
 @_query("norms_squared", "SELECT vec_id, list_reduce(list_transform(embedding::DOUBLE[], lambda x: x * x), lambda s, x: s + x) AS norm_squared FROM embeddings")
@@ -282,6 +284,68 @@ def nn_descent_log(spark, sf_dir):
     return N.log_table(vecs, N.nn_descent_with_log(vecs, K)[1])
 
 
-@_query("init_random_graph")
+_L2 = "list_reduce(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda s, z: s + z)"
+#: CTEs up to start(src, dst, dist): the random graph of seed 42.
+_START = f"""
+o AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS n FROM embeddings),
+t AS (SELECT id AS src, place AS own, n, unnest(range(1, {3 * K + N.SPARE + 1})) AS turn FROM o),
+w AS (SELECT src, own, turn, CASE WHEN turn <= {2 * K + N.SPARE} THEN CAST('0x' || substr(md5('42:' || src || ':' || turn), 1, 12) AS BIGINT) ELSE own + turn - {2 * K + N.SPARE} END % n AS place FROM t),
+d AS (SELECT src, place, row_number() OVER (PARTITION BY src ORDER BY min(turn)) AS r FROM w WHERE place <> own GROUP BY src, place),
+start AS (SELECT d.src, b.id AS dst, {_L2} AS dist FROM d JOIN o b ON d.place = b.place JOIN o a ON d.src = a.id WHERE r <= {K})"""
+
+
+def _step_sql(seen: str) -> str:
+    """CTEs from start to step(src, dst, dist, is_new, rk): one iteration over all entries, which are new."""
+    return f"""
+c AS ({seen}),
+j AS (SELECT DISTINCT x.u, y.u AS w FROM c x JOIN c y ON x.p = y.p AND x.u < y.u),
+f AS (SELECT j.u, j.w, {_L2} AS dist FROM j JOIN o a ON a.id = j.u JOIN o b ON b.id = j.w),
+m AS (
+  SELECT src, dst, min(dist) AS dist, bool_and(is_new) AS is_new
+  FROM (SELECT src, dst, dist, false AS is_new FROM start UNION ALL SELECT u, w, dist, true FROM f UNION ALL SELECT w, u, dist, true FROM f) GROUP BY src, dst),
+step AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS INTEGER) AS rk FROM m) WHERE rk <= {K})"""
+
+
+_BOTH = _step_sql("SELECT src AS p, dst AS u FROM start UNION SELECT dst, src FROM start")
+_FORWARD = _step_sql("SELECT src AS p, dst AS u FROM start")
+
+
+def _step(spark, sf_dir, use_reverse: bool = True):
+    vecs = load_vectors(spark, sf_dir)
+    start = through_files(N.init_random_graph(vecs, K), "start")
+    return start, N.local_join(start, vecs, K, use_reverse=use_reverse)
+
+
+@_query("init_random_graph", f"WITH {_START} SELECT *, true AS is_new, CAST(row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS INTEGER) AS rk FROM start")
 def init_random_graph(spark, sf_dir):
     return N.init_random_graph(load_vectors(spark, sf_dir), K)
+
+
+@_query("nn_descent_step", f"WITH {_START}, {_BOTH} SELECT * FROM step")
+def nn_descent_step(spark, sf_dir):
+    """The random graph after one iteration."""
+    return _step(spark, sf_dir)[1].select("src", "dst", "dist", "is_new", "rk")
+
+
+@_query("nn_descent_step_forward", f"WITH {_START}, {_FORWARD} SELECT * FROM step")
+def nn_descent_step_forward(spark, sf_dir):
+    return _step(spark, sf_dir, False)[1].select("src", "dst", "dist", "is_new", "rk")
+
+
+@_query("nn_descent_step_updates", f"WITH {_START}, {_BOTH} SELECT count(*) AS updates FROM step WHERE (src, dst) NOT IN (SELECT (src, dst) FROM start)")
+def nn_descent_step_updates(spark, sf_dir):
+    return spark.createDataFrame([(N.count_updates(*_step(spark, sf_dir)),)], "updates long")
+
+
+@_query("recall_of_step", f"WITH {_START}, {_BOTH}, {L2_SQL} SELECT count(*) / (SELECT count(*) FROM knn)::DOUBLE AS recall FROM knn JOIN step ON knn.src = step.src AND knn.dst = step.dst")
+def recall_of_step(spark, sf_dir):
+    """Recall of an approximate graph."""
+    return spark.createDataFrame([(R.recall_at_k(_step(spark, sf_dir)[1], _graph(spark, sf_dir)),)], "recall double")
+
+
+@_query("ground_truth_round_trip", f"WITH {L2_SQL} {GRAPH}")
+def ground_truth_round_trip(spark, sf_dir):
+    """The true graph as it is stored and found again."""
+    vecs, path = load_vectors(spark, sf_dir), scratch(spark, "truth")
+    ground_truth.load_or_compute(vecs, K, path)
+    return ground_truth.load_or_compute(vecs, K, path)

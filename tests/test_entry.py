@@ -41,7 +41,7 @@ def test_entry(spark):
 
 def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"nn_descent", "nn_descent_sampled", "nn_descent_forward", "nn_descent_log", "init_random_graph"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"nn_descent", "nn_descent_sampled", "nn_descent_forward", "nn_descent_log"}
 
 
 def test_core_does_not_import_llm():
