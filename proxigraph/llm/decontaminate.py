@@ -15,8 +15,10 @@ Nothing but the bitmap is broadcast by this module; the benchmark may be of any
 
 Defined results: null or empty texts have no words; an item of fewer than
 SEED words has no seed and matches nothing; documents and items are judged
-row by row, so repeated rows give repeated pairs; ids may be null. The
-result is empty if no pair reaches the threshold.
+row by row, so repeated rows give repeated pairs; ids may be null. Very long
+texts are tiled whole, in parts of bounded size. Other columns are ignored,
+in the pipeline's stage kept. The result is empty if no pair reaches the
+threshold, or a table is empty.
 """
 
 from __future__ import annotations
