@@ -5,9 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path under spark.checkpoint.dir, which the cluster sets. Only a local session may leave it unset."""
@@ -19,8 +24,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def through_files(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def removed_after(spark: SparkSession) -> Iterator[None]:
+    """Tables that through_files writes inside are removed at the end, but for those that outlive it; an enclosing scope removes these.
+
+    What is still needed afterwards must be written before the end: a plan that reads a removed table fails.
+    """
+    outer, paths = _scopes.get(), []
+    token = _scopes.set((*outer, paths))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in paths:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def through_files(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
+    if scopes := _scopes.get()[: -1 if outlives else None]:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,4 +1,5 @@
 import struct
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from proxigraph.sources import ground_truth as T
 from proxigraph.sources.graph_file import EMPTY, HEADER, write_graph
 from proxigraph.sources.vecs import read_bvecs_as_float, read_vecs, to_bytes
 from proxigraph.sources.vectors import from_array, synthetic
-from proxigraph.storage import scratch
+from proxigraph.storage import removed_after, scratch, through_files
 from tests.test_graphs import NEAR, POINTS, lists
 
 
@@ -140,6 +141,30 @@ def test_scratch_folder(spark):
     assert scratch(spark, "t") != scratch(spark, "t")
 
 
+def test_removed_tables(spark):
+    def there(df):
+        return all(Path(f.removeprefix("file://")).exists() for f in df_files[id(df)])
+
+    df_files = {}
+
+    def write(outlives=False):
+        df = through_files(spark.range(3), "t", outlives)
+        df_files[id(df)] = df.inputFiles()
+        return df
+
+    before = write()
+    with pytest.raises(KeyError), removed_after(spark):
+        outer = write()
+        with removed_after(spark):
+            gone, kept = write(), write(outlives=True)
+            assert there(gone) and there(kept)
+        assert not there(gone) and there(kept) and there(outer) and kept.count() == 3
+        last = write(outlives=True)
+        raise KeyError
+    assert not there(kept) and not there(outer) and there(last) and there(before)
+    assert all(f and len(f) for f in df_files.values())
+
+
 def test_benchmark_results(spark, tmp_path):
     import json
 
