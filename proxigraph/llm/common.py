@@ -9,9 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proxigraph.storage import scratch, through_files
+from proxigraph.storage import removed_after, scratch, through_files
 
-__all__ = ["scratch", "shield", "small_batches", "table", "through_files", "worker_state"]
+__all__ = ["removed_after", "scratch", "shield", "small_batches", "table", "through_files", "worker_state"]
 
 ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1000

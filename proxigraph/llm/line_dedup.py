@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proxigraph.llm.common import shield, table, through_files
+from proxigraph.llm.common import removed_after, shield, table, through_files
 
 LEAD, MIN_GENERAL, MIN_DOCS, MIN_FIRST = 2, 5, 2, 3
 #: A token is a field if fewer than one in COMMON of its leaf's templates have it; a template has at most one field in FIELD_EVERY tokens.
@@ -195,7 +195,8 @@ def dedup_lines(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id and text, less its dropped lines, and other columns of documents; adds n_lines and n_dropped, in place of columns of these names."""
     documents = documents.drop("n_lines", "n_dropped")
     numbered = through_files(documents.withColumn("_row", F.monotonically_increasing_id()), "line-rows")
-    drops = dropped_lines(numbered, min_docs).select(F.col("row").alias("_of"), F.col("lines").alias("_lines"))
+    with removed_after(documents.sparkSession):
+        drops = through_files(dropped_lines(numbered, min_docs).select(F.col("row").alias("_of"), F.col("lines").alias("_lines")), "line-drops", outlives=True).hint("merge")
     joined = numbered.join(drops, F.col("_row") == F.col("_of"), "left")
     parts = joined.withColumn("_parts", F.split(F.coalesce("text", F.lit("")), "\n", -1))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_lines")), lambda i: F.element_at("_parts", i + 1))

@@ -55,7 +55,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proxigraph.llm.common import shield, table, through_files
+from proxigraph.llm.common import removed_after, shield, table, through_files
 from proxigraph.llm.components import components
 from proxigraph.llm.shingles import BASE, grouped, mix, shingles_of
 
@@ -484,13 +484,21 @@ def _classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def find_classes(documents: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """documents with _row and _digest, and for each _digest: _class (smallest doc_id) and _first (the _row that stays)."""
+    """documents with _row and _digest, and for each _digest: _class (smallest doc_id) and _first (the _row that stays).
+
+    Both are written tables; all others that the search writes are removed at its end.
+    """
+    with removed_after(documents.sparkSession):
+        return _searched(documents, least)
+
+
+def _searched(documents: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     spark = documents.sparkSession
     idf = spark.sparkContext.broadcast(idf_table(documents))
     rows = documents.withColumn("_row", F.monotonically_increasing_id())
     made = [T.StructField("_digest", T.BinaryType()), T.StructField("_bands", T.ArrayType(T.LongType())), T.StructField("_marks", T.BinaryType()), T.StructField("_size", T.LongType()), T.StructField("_weight", T.DoubleType())]
     schema = T.StructType([*rows.schema.fields, *made])
-    signed = through_files(rows.mapInArrow(_sign(idf, _arrow_schema(schema)), schema), "signed")
+    signed = through_files(rows.mapInArrow(_sign(idf, _arrow_schema(schema)), schema), "signed", outlives=True)
     # Rows of one node have the same samples; the first row in the order of doc_id speaks for it.
     rank = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.col("_row").alias("row"))
     nodes = through_files(signed.groupBy("_digest").agg(F.min(rank).alias("rank"), F.first("_bands").alias("bands"), F.first("_size").alias("size")).withColumn("node", F.col("rank.row")), "nodes")
@@ -516,7 +524,8 @@ def find_classes(documents: DataFrame, least: float = SIMILARITY) -> tuple[DataF
         classes = through_files(_classes(nodes, links.unionByName(more)), "classes")
     named = nodes.select("_digest", "node", "rank").join(classes, "node")
     firsts = named.groupBy("class").agg(F.min("rank").alias("first"))
-    return signed, named.join(firsts, "class").select("_digest", F.col("first.id").alias("_class"), F.col("first.row").alias("_first"))
+    found = named.join(firsts, "class").select("_digest", F.col("first.id").alias("_class"), F.col("first.row").alias("_first"))
+    return signed, through_files(found, "near-classes", outlives=True)
 
 
 def near_duplicates(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
