@@ -22,7 +22,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--k", required=True, type=_positive)
     p.add_argument("--metric", choices=["l2", "inner_product"], default="l2")
     p.add_argument("--algorithm", choices=["brute_force", "nn_descent"], default="brute_force")
-    p.add_argument("--output", help="by default the dataset's name with .knng")
+    p.add_argument("--output", help="by default the dataset's name with .graph")
     p.add_argument("--version", action="version", version=f"proxigraph {__version__}")
     return p
 
@@ -42,7 +42,7 @@ def main(argv: list[str] | None = None) -> int:
     try:
         vecs = through_files(read_vecs(spark, args.dataset).select("vec_id", F.col("v").cast("array<double>").alias("v")), "dataset")
         build = exact_knn if args.algorithm == "brute_force" else nn_descent
-        write_graph(build(vecs, args.k, metric=args.metric), args.output or args.dataset + ".knng", vecs.count(), args.k, args.metric)
+        write_graph(build(vecs, args.k, metric=args.metric), args.output or args.dataset + ".graph", vecs.count(), args.k, args.metric)
     except (ValueError, OSError) as e:
         print(f"proxigraph: {e}", file=sys.stderr)
         return EXIT_FAILED

@@ -23,6 +23,8 @@ from proxigraph.functions import distance as D
 from proxigraph.sources.vectors import check_k, shape
 
 BLOCK, LEAST_BLOCK = 2048, 512
+#: Components of the vectors whose exact distances are computed at once.
+COMPONENTS = 1 << 22
 STRATEGIES = ("gemm", "native", "norms", "tiled", "sort_slice")
 
 
@@ -91,29 +93,27 @@ def _pack(rows: pa.Table) -> pa.Table:
 
 def block_best(a: np.ndarray, a_ids: np.ndarray, b: np.ndarray, b_ids: np.ndarray, k: int, metric: D.Metric) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """src, dst and exact dist of the k nearest in block b of each row of a. b_ids ascend."""
-    src, dst, dist = [], [], []
-    fast = metric.block(a, b) if metric.block else None
-    scale = 1e-12 * a.shape[1] * (np.abs(a).max(initial=0.0) + np.abs(b).max(initial=0.0)) ** 2 if metric.block else 0.0
-    for i in range(len(a)):
-        own = b_ids == a_ids[i]
-        if fast is None:
-            near = np.flatnonzero(~own)
-        else:
-            row = np.where(own, np.inf, fast[i])
-            cut = np.partition(row, k - 1)[k - 1] if k < len(row) else np.inf
-            near = np.flatnonzero((row <= cut + scale) & ~own)
-        exact = metric.rows(np.broadcast_to(a[i], (len(near), a.shape[1])), b[near])
-        order = np.lexsort((near, exact))[:k]
-        src.append(np.full(len(order), a_ids[i]))
-        dst.append(b_ids[near[order]])
-        dist.append(exact[order])
-    return tuple(np.concatenate(x) if x else np.zeros(0) for x in (src, dst, dist))
+    own = a_ids[:, None] == b_ids
+    if metric.block is None:
+        at, near = np.nonzero(~own)
+    else:
+        fast = np.where(own, np.inf, metric.block(a, b))
+        scale = 1e-12 * a.shape[1] * (np.abs(a).max(initial=0.0) + np.abs(b).max(initial=0.0)) ** 2
+        cut = np.partition(fast, k - 1, axis=1)[:, k - 1, None] if k < len(b) else np.inf
+        at, near = np.nonzero((fast <= cut + scale) & ~own)
+    step = max(1, COMPONENTS // max(1, a.shape[1]))
+    exact = np.concatenate([metric.rows(a[at[i : i + step]], b[near[i : i + step]]) for i in range(0, max(1, len(at)), step)])
+    order = np.lexsort((near, exact, at))
+    at, near, exact = at[order], near[order], exact[order]
+    first = np.arange(len(at)) - np.searchsorted(at, at, "left") < k
+    return a_ids[at[first]], b_ids[near[first]], exact[first]
 
 
 def _products(k: int, metric: D.Metric):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
                 a, b = (np.frombuffer(r[m], "<f8").reshape(r[n], -1) for m, n in (("m_a", "n_a"), ("m_b", "n_b")))
                 src, dst, dist = block_best(a, np.frombuffer(r["ids_a"], "<i8"), b, np.frombuffer(r["ids_b"], "<i8"), k, metric)
                 yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(dist, pa.float64())], ["src", "dst", "dist"])
@@ -121,10 +121,13 @@ def _products(k: int, metric: D.Metric):
     return run
 
 
+def gemm_block(n: int, block: int, cores: int) -> int:
+    """A small table is cut finer, so that the pairs of blocks are about twice the cores; a block is sent once for each other, so none is small."""
+    return min(block, max(LEAST_BLOCK, math.ceil(n / math.ceil(math.sqrt(2 * cores)))))
+
+
 def _gemm(vecs: DataFrame, k: int, metric: D.Metric, parallelism: int | None, block: int, n: int) -> DataFrame:
-    # A small table is cut finer, so that the pairs of blocks are about twice the cores; a block is sent once for each other, so none is small.
-    cores = parallelism or vecs.sparkSession.sparkContext.defaultParallelism
-    block = min(block, max(LEAST_BLOCK, math.ceil(n / math.ceil(math.sqrt(2 * cores)))))
+    block = gemm_block(n, block, parallelism or vecs.sparkSession.sparkContext.defaultParallelism)
     packed = vecs.withColumn("blk", _block_of(n, block)).groupBy("blk").applyInArrow(_pack, "blk int, n int, ids binary, m binary")
     a, b = (packed.select(*[F.col(c).alias(f"{c}_{side}") for c in packed.columns]) for side in "ab")
     return best(_paired(a, b, math.ceil(n / block)).mapInArrow(_products(k, metric), "src long, dst long, dist double"), k)
@@ -141,3 +144,13 @@ def exact_knn(vecs: DataFrame, k: int, metric: str | D.Metric = "l2", strategy:
         raise ValueError(f"unknown strategy {strategy!r}; known: {', '.join(STRATEGIES)}")
     build = {"gemm": _gemm, "native": _native, "norms": _norms, "tiled": _tiled, "sort_slice": _sort_slice}[strategy]
     return build(vecs, k, D.metric(metric), parallelism, block, n)
+
+
+def active_path(vecs: DataFrame, metric: str | D.Metric = "l2", strategy: str = "gemm", parallelism: int | None = None, block: int = BLOCK) -> DataFrame:
+    """How exact_knn computes the graph of vecs: strategy, metric, kernel (matrix_product, rows or columns), block and blocks (1 and the whole table where a strategy has none)."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}; known: {', '.join(STRATEGIES)}")
+    n, m, spark = vecs.count(), D.metric(metric), vecs.sparkSession
+    size = {"gemm": gemm_block(n, block, parallelism or spark.sparkContext.defaultParallelism), "tiled": block}.get(strategy, max(1, n))
+    kernel = "columns" if strategy != "gemm" else "matrix_product" if m.block else "rows"
+    return spark.createDataFrame([(strategy, m.name, kernel, size, max(1, math.ceil(n / size)))], "strategy string, metric string, kernel string, block long, blocks long")

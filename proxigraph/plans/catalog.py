@@ -16,8 +16,8 @@ from proxigraph.functions import distance as D
 from proxigraph.operators import graph as G
 from proxigraph.operators import nn_descent as N
 from proxigraph.operators import recall as R
-from proxigraph.operators.exact import all_pairs, exact_knn
-from proxigraph.sources import ground_truth
+from proxigraph.operators.exact import BLOCK, LEAST_BLOCK, active_path, all_pairs, exact_knn
+from proxigraph.sources import graph_file, ground_truth, vecs as vec_files
 from proxigraph.sources.vectors import load_vectors, shape
 from proxigraph.storage import scratch, through_files
 
@@ -349,3 +349,53 @@ def ground_truth_round_trip(spark, sf_dir):
     vecs, path = load_vectors(spark, sf_dir), scratch(spark, "truth")
     ground_truth.load_or_compute(vecs, K, path)
     return ground_truth.load_or_compute(vecs, K, path)
+
+
+@_query("graph_file_round_trip", f"WITH {L2_SQL} SELECT src, dst, CAST(CAST(dist AS FLOAT) AS DOUBLE) AS dist, rk FROM knn")
+def graph_file_round_trip(spark, sf_dir):
+    """The exact graph as its file holds it."""
+    path, n = scratch(spark, "graph"), load_vectors(spark, sf_dir).count()
+    graph_file.write_graph(_graph(spark, sf_dir), path, n, K)
+    return graph_file.read_graph(spark, path)
+
+
+def _through_vecs(spark, vecs, kind):
+    path = f"{scratch(spark, 'vectors')}.{kind}"
+    vec_files.write_vecs(vecs, path)
+    return path
+
+
+@_query("fvecs_round_trip", "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vec_id, embedding AS v FROM embeddings")
+def fvecs_round_trip(spark, sf_dir):
+    return vec_files.read_vecs(spark, _through_vecs(spark, load_vectors(spark, sf_dir), "fvecs"))
+
+
+def _whole(spark, sf_dir, low, high):
+    """Vectors of whole numbers: components times 256, cut to low..high."""
+    cut = F.transform("v", lambda x: F.greatest(F.lit(low), F.least(F.lit(high), F.floor(x * 256))).cast("int"))
+    return load_vectors(spark, sf_dir).select("vec_id", cut.alias("v"))
+
+
+def _whole_sql(low, high, element):
+    return f"SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vec_id, list_transform(embedding::DOUBLE[], lambda x: CAST(greatest({low}, least({high}, floor(x * 256))) AS {element})) AS v FROM embeddings"
+
+
+@_query("ivecs_round_trip", _whole_sql(-1000, 1000, "INTEGER"))
+def ivecs_round_trip(spark, sf_dir):
+    return vec_files.read_vecs(spark, _through_vecs(spark, _whole(spark, sf_dir, -1000, 1000), "ivecs"))
+
+
+@_query("bvecs_round_trip", _whole_sql(0, 255, "SMALLINT"))
+def bvecs_round_trip(spark, sf_dir):
+    return vec_files.read_vecs(spark, _through_vecs(spark, _whole(spark, sf_dir, 0, 255), "bvecs"))
+
+
+@_query("bvecs_as_float", _whole_sql(0, 255, "FLOAT"))
+def bvecs_as_float(spark, sf_dir):
+    return vec_files.read_bvecs_as_float(spark, _through_vecs(spark, _whole(spark, sf_dir, 0, 255), "bvecs"))
+
+
+@_query("active_path", f"WITH s AS (SELECT count(*) AS n, least({BLOCK}, greatest({LEAST_BLOCK}, CAST(ceil(count(*) / 4) AS BIGINT))) AS block FROM embeddings) SELECT 'gemm' AS strategy, 'l2' AS metric, 'matrix_product' AS kernel, block, CAST(ceil(n / block) AS BIGINT) AS blocks FROM s")
+def active_path_of_graph(spark, sf_dir):
+    """How the graph of the embeddings is computed on eight cores."""
+    return active_path(load_vectors(spark, sf_dir), parallelism=8)

@@ -8,10 +8,13 @@ at beforehand.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from proxigraph.storage import file_head, file_system
+
 
 @dataclass(frozen=True)
 class Format:
@@ -25,20 +28,10 @@ FORMATS = {"fvecs": Format("<f4", 4, "float"), "ivecs": Format("<i4", 4, "int"),
 
 def _head(spark: SparkSession, path: str) -> tuple[int, int]:
     """Dimension in the first record and length of the file."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(where):
-        raise FileNotFoundError(path)
-    size = fs.getFileStatus(where).getLen()
+    head, size = file_head(spark, path, 4)
     if size < 4:
         raise ValueError(f"{path}: {size} bytes hold no record")
-    stream = fs.open(where)
-    try:
-        dim = int.from_bytes(bytes(stream.read() for _ in range(4)), "little", signed=True)
-    finally:
-        stream.close()
-    return dim, size
+    return int.from_bytes(head, "little", signed=True), size
 
 
 def read_vecs(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
@@ -78,3 +71,18 @@ def to_bytes(data: np.ndarray, kind: str) -> bytes:
     form = FORMATS[kind]
     head = np.int32(data.shape[1]).astype("<i4").tobytes()
     return b"".join(head + row.astype(form.dtype).tobytes() for row in data)
+
+
+def write_vecs(vecs: DataFrame, path: str, kind: str | None = None, rows: int = 4096) -> None:
+    """Vectors in the order of vec_id. The file is one stream, so the driver writes it, some rows at a time."""
+    kind = kind or path.rsplit(".", 1)[-1]
+    if kind not in FORMATS:
+        raise ValueError(f"unknown format {kind!r}; known: {', '.join(FORMATS)}")
+    fs, where = file_system(vecs.sparkSession, path)
+    out = fs.create(where)
+    try:
+        found = (r["v"] for r in vecs.select("vec_id", "v").orderBy("vec_id").toLocalIterator())
+        while some := list(islice(found, rows)):
+            out.write(to_bytes(np.array(some), kind))
+    finally:
+        out.close()

@@ -24,6 +24,25 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, path: str):
+    """The store that holds path, and path as it names it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def file_head(spark: SparkSession, path: str, length: int) -> tuple[bytes, int]:
+    """A file's first bytes and its length. Raises FileNotFoundError."""
+    fs, where = file_system(spark, path)
+    if not fs.exists(where):
+        raise FileNotFoundError(path)
+    stream = fs.open(where)
+    try:
+        size = fs.getFileStatus(where).getLen()
+        return bytes(stream.read() for _ in range(min(length, size))), size
+    finally:
+        stream.close()
+
+
 @contextmanager
 def removed_after(spark: SparkSession) -> Iterator[None]:
     """Tables that through_files writes inside are removed at the end, but for those that outlive it; an enclosing scope removes these.
@@ -37,8 +56,8 @@ def removed_after(spark: SparkSession) -> Iterator[None]:
     finally:
         _scopes.reset(token)
         for path in paths:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            fs, where = file_system(spark, path)
+            fs.delete(where, True)
 
 
 def through_files(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:

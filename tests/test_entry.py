@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from proxigraph.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-FAST = ["knn_exact_ip", "knn_tiled_l2", "merge_lists", "two_hop_candidates", "shard_bounds", "request_dedup_total", "xorshift_step", "knn_parts_l2", "recall_per_row", "reverse_neighbors"]
+FAST = ["knn_exact_ip", "knn_tiled_l2", "merge_lists", "two_hop_candidates", "shard_bounds", "request_dedup_total", "xorshift_step", "knn_parts_l2", "recall_per_row", "reverse_neighbors", "graph_file_round_trip", "fvecs_round_trip", "ivecs_round_trip", "bvecs_round_trip", "bvecs_as_float", "active_path"]
 
 
 def canon(columns, rows):

@@ -7,8 +7,8 @@ import pytest
 from proxigraph import __main__ as cli
 from proxigraph.operators.exact import exact_knn
 from proxigraph.sources import ground_truth as T
-from proxigraph.sources.graph_file import EMPTY, HEADER, write_graph
-from proxigraph.sources.vecs import read_bvecs_as_float, read_vecs, to_bytes
+from proxigraph.sources.graph_file import EMPTY, HEADER, Head, read_graph, read_head, write_graph
+from proxigraph.sources.vecs import read_bvecs_as_float, read_vecs, to_bytes, write_vecs
 from proxigraph.sources.vectors import from_array, synthetic
 from proxigraph.storage import removed_after, scratch, through_files
 from tests.test_graphs import NEAR, POINTS, lists
@@ -81,7 +81,7 @@ def test_cache_path():
     assert T.cache_path("x.fvecs", 3) == "x.k3.l2.gt"
 
 
-def read_graph(path):
+def raw_graph(path):
     data = path.read_bytes()
     head = HEADER.unpack_from(data)
     n, k = head[6:]
@@ -90,14 +90,42 @@ def read_graph(path):
 
 def test_graph_file(spark, tmp_path):
     edges = exact_knn(from_array(spark, POINTS), 3)
-    write_graph(edges, str(tmp_path / "g.knng"), 8, 3)
-    head, ids, dist, size = read_graph(tmp_path / "g.knng")
+    write_graph(edges, str(tmp_path / "g.graph"), 8, 3)
+    head, ids, dist, size = raw_graph(tmp_path / "g.graph")
     assert head == (b"KNNGRAPH", 1, 4, 4, 0, 0, 8, 3) and size == 64 + 8 * 3 * 8
     assert ids.tolist() == NEAR and dist.tolist() == [[1, 1, 2]] * 8
-    write_graph(edges.where("rk < 3 and src <> 5"), str(tmp_path / "g.knng"), 8, 3, "inner_product")
-    head, ids, dist, _ = read_graph(tmp_path / "g.knng")
+    write_graph(edges.where("rk < 3 and src <> 5"), str(tmp_path / "g.graph"), 8, 3, "inner_product")
+    head, ids, dist, _ = raw_graph(tmp_path / "g.graph")
     assert head[4] == 1 and ids[5].tolist() == [EMPTY] * 3 and ids[0, 2] == EMPTY and np.isinf(dist[7, 2])
-    assert not (tmp_path / "g.knng.tmp").exists()
+    assert not (tmp_path / "g.graph.tmp").exists() and not (tmp_path / "g.graph.tmp-distances").exists()
+
+
+def test_graph_file_reader(spark, tmp_path):
+    edges, path = exact_knn(from_array(spark, POINTS), 3), str(tmp_path / "g.graph")
+    of = lambda df: sorted(tuple(r) for r in df.select("src", "dst", "dist", "rk").collect())
+    write_graph(edges, path, 8, 3, "inner_product")
+    assert read_head(spark, path) == Head(1, 8, 3) and of(read_graph(spark, path)) == of(edges)
+    short = edges.where("rk < 3 and src <> 5")
+    write_graph(short, path, 8, 3)
+    assert of(read_graph(spark, path)) == of(short)
+    write_graph(edges.where("false"), path, 0, 3)
+    assert of(read_graph(spark, path)) == []
+    whole = (tmp_path / "g.graph").read_bytes()
+    for name, data in (("stub", whole[:20]), ("long", whole + b"1234"), ("other", b"NOTGRAPH" + whole[8:])):
+        (tmp_path / name).write_bytes(data)
+        with pytest.raises(ValueError):
+            read_graph(spark, str(tmp_path / name))
+    with pytest.raises(FileNotFoundError):
+        read_graph(spark, str(tmp_path / "no"))
+
+
+def test_write_vecs(spark, tmp_path):
+    vecs = from_array(spark, POINTS).orderBy("v")
+    for kind in ("fvecs", "ivecs", "bvecs"):
+        write_vecs(vecs, str(tmp_path / f"w.{kind}"), rows=3)
+        assert (tmp_path / f"w.{kind}").read_bytes() == to_bytes(POINTS, kind)
+    with pytest.raises(ValueError):
+        write_vecs(vecs, str(tmp_path / "w.txt"))
 
 
 def test_command_line(spark, tmp_path, monkeypatch, capsys):
@@ -105,9 +133,9 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     path = tmp_path / "p.fvecs"
     path.write_bytes(to_bytes(POINTS, "fvecs"))
     assert cli.main(["--dataset", str(path), "--k", "3"]) == 0
-    assert read_graph(tmp_path / "p.fvecs.knng")[1].tolist() == NEAR
+    assert raw_graph(tmp_path / "p.fvecs.graph")[1].tolist() == NEAR
     assert cli.main(["--dataset", str(path), "--k", "3", "--algorithm", "nn_descent", "--metric", "inner_product", "--output", str(tmp_path / "o")]) == 0
-    assert read_graph(tmp_path / "o")[0][4] == 1
+    assert raw_graph(tmp_path / "o")[0][4] == 1
     assert cli.main(["--dataset", str(path), "--k", "8"]) == 1
     assert cli.main(["--dataset", str(tmp_path / "no.fvecs"), "--k", "1"]) == 1
     for bad in (["--k", "1"], ["--dataset", "x"], ["--dataset", "x", "--k", "0"], ["--dataset", "x", "--k", "-1"], ["--dataset", "x", "--k", "+1"], ["--dataset", "x", "--k", "1", "--metric", "cosine"], ["--dataset", "x", "--k", "1", "--other", "1"], ["stray", "--dataset", "x", "--k", "1"]):
