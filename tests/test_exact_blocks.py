@@ -31,6 +31,14 @@ def test_native_ip(spark):
     assert lists(got) == brute(data, 8, "inner_product")
 
 
+def test_native_l2(spark):
+    """Large offsets, many copies and blocks that don't fill."""
+    data = points(75, 3, 60) + 1e4
+    got = exact_knn(from_array(spark, data, 7), 9, "l2", "native", block=32)
+    assert in_blocks(got)
+    assert lists(got) == {i + 7: [(j + 7, x) for j, x in e] for i, e in brute(data, 9, "l2").items()}
+
+
 def test_row_best():
     dist = np.array([[0.0, 2.0, 1.0, 1.0], [3.0, 0.0, np.nan, np.inf]])
     assert [x.tolist() for x in row_best(dist, 2, False)] == [[0, 0, 1, 1], [0, 2, 1, 0]]
