@@ -40,6 +40,16 @@ def test_native_l2(spark):
     assert lists(got) == {i + 7: [(j + 7, x) for j, x in e] for i, e in brute(data, 9, "l2").items()}
 
 
+def test_parallelism(spark):
+    """So many tasks share the pairs of blocks, and the graph stays the same."""
+    data = points(70, 4, 20)
+    vecs = from_array(spark, data)
+    got = exact_knn(vecs, 6, strategy="native", parallelism=5, block=16)
+    assert in_blocks(got) and "REPARTITION_BY_NUM" in plan_of(got) and "blk_b" in plan_of(got)
+    assert plan_of(got).count(", 5), REPARTITION_BY_NUM") == 2
+    assert lists(got) == brute(data, 6, "l2")
+
+
 def test_norms(spark):
     """The distances are the column expression's to the last bit, so copies tie."""
     data = points(80, 5, 30)
