@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proxigraph.functions import distance as D
-from proxigraph.operators.exact import _in_tiles, _nearest, _sort, best, exact_knn, row_best
+from proxigraph.operators.exact import _in_tiles, _nearest, _sort, all_pairs, best, exact_knn, row_best
 from proxigraph.sources.vectors import from_array, synthetic
 from tests.test_graphs import brute, lists
 
@@ -83,6 +83,19 @@ def test_tiled(spark):
     assert [len(src) for src, _, _ in tile(data, np.arange(70), data, np.arange(70), True)] == [70 * 6]
 
 
+def all_of(data, metric):
+    rows = D.metric(metric).rows
+    return {(i, j): x for i in range(len(data)) for j, x in enumerate(rows(np.broadcast_to(data[i], data.shape), data)) if i != j}
+
+
+def test_all_pairs_ip(spark):
+    data = points(61, 5, 20)
+    got = all_pairs(from_array(spark, data), "inner_product", block=20)
+    assert in_blocks(got)
+    rows = got.collect()
+    assert len(rows) == 61 * 60 and {(r["src"], r["dst"]): r["dist"] for r in rows} == all_of(data, "inner_product")
+
+
 def test_row_best():
     dist = np.array([[0.0, 2.0, 1.0, 1.0], [3.0, 0.0, np.nan, np.inf]])
     assert [x.tolist() for x in row_best(dist, 2, False)] == [[0, 0, 1, 1], [0, 2, 1, 0]]
