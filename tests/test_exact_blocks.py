@@ -96,6 +96,15 @@ def test_all_pairs_ip(spark):
     assert len(rows) == 61 * 60 and {(r["src"], r["dst"]): r["dist"] for r in rows} == all_of(data, "inner_product")
 
 
+def test_all_pairs_l2(spark):
+    data = points(45, 3, 15) + 1e3
+    got = all_pairs(from_array(spark, data), block=16)
+    assert in_blocks(got)
+    rows = got.collect()
+    assert len(rows) == 45 * 44 and {(r["src"], r["dst"]): r["dist"] for r in rows} == all_of(data, "l2")
+    assert all_pairs(from_array(spark, data).limit(0)).count() == 0
+
+
 def test_row_best():
     dist = np.array([[0.0, 2.0, 1.0, 1.0], [3.0, 0.0, np.nan, np.inf]])
     assert [x.tolist() for x in row_best(dist, 2, False)] == [[0, 0, 1, 1], [0, 2, 1, 0]]
