@@ -137,6 +137,20 @@ def test_boxes_ip(spark, monkeypatch):
     assert taken < 2000**2 / 3
 
 
+def test_boxes_l2(spark, monkeypatch):
+    data = few_values(2000, 5)
+    got, taken = met_by_boxes(spark, monkeypatch, data, 5, "l2")
+    assert got == brute(data, 5, "l2")
+    assert taken < 2000**2 / 3
+
+
+def test_boxes_of_other_shapes(spark):
+    """Points that differ in the last bits, one component, and a k of more than a block."""
+    for data, k in ((synthetic(300, 3, 8).astype(float) * 1e-9 + 1e4, 6), (np.arange(400.0)[:, None] % 37, 4), (points(200, 2, 90), 45)):
+        for metric in ("l2", "inner_product"):
+            assert lists(exact_knn(from_array(spark, data), k, metric, block=16)) == brute(data, k, metric)
+
+
 def test_cells():
     data, ids = np.repeat([[1.0, 2.0]], 100, 0), np.arange(100)[::-1].copy()
     found = cells(data, ids, 16)
