@@ -100,6 +100,15 @@ def test_parallelism(spark):
     assert lists(got) == brute(data, 6, "l2")
 
 
+def test_parallel_folds_few_pairs(spark):
+    """More tasks mean more and smaller blocks, but no return to folding all pairs."""
+    data = points(1300, 5, 200)
+    folded = spark.sparkContext.accumulator(0)
+    got = exact_knn(from_array(spark, data), 4, counting("l2", folded.add), "native", parallelism=16, block=128)
+    assert lists(got) == brute(data, 4, "l2")
+    assert 0 < folded.value < 1300**2 / 8
+
+
 def test_norms(spark):
     """The distances are the column expression's to the last bit, so copies tie."""
     data = points(80, 5, 30)
