@@ -178,6 +178,35 @@ def test_all_pairs_l2(spark):
     assert all_pairs(from_array(spark, data).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("metric", ["l2", "inner_product"])
+def test_all_pairs_fold_and_leave_python_once(spark, metric):
+    """Both rows of a pair are made of one distance, also of two points of one block; blocks of more and of fewer points than a list has."""
+    n = 1100
+    data, folded = points(n, 4, 200), spark.sparkContext.accumulator(0)
+    got = all_pairs(from_array(spark, data, 5), counting(metric, folded.add))
+    assert in_blocks(got) and "Expand" in plan_of(got) and "Generate posexplode" in plan_of(got)
+    rows = got.toPandas()
+    assert n * (n - 1) / 2 <= folded.value < 0.64 * n**2
+    assert len(rows) == n * (n - 1) and not rows.duplicated(["src", "dst"]).any() and (rows.src != rows.dst).all()
+    assert (rows.dist.to_numpy() == D.metric(metric).rows(data[rows.src - 5], data[rows.dst - 5])).all()
+
+
+@pytest.mark.parametrize("sizes", [(1, 1), (2, 1), (1, 300), (300, 1), (257, 256), (256, 257), (600, 513)])
+def test_listed_pairs(sizes):
+    """Each pair of two blocks, or of different points of one, is in one list."""
+    data = synthetic(sum(sizes), 3, 9).astype(float)
+    for a, b in ((range(sizes[0]), range(sizes[0], sum(sizes))), (range(sizes[0]),) * 2):
+        found = []
+        for batch in (exact._lists(*x) for x in exact._listed(D.L2.distances)(data[a], np.array(a), data[b], np.array(b), a == b)):
+            for r in batch.to_pylist():
+                assert len(r["lists"]) <= exact.LISTS and len(r["ids"]) <= exact.LISTED
+                found += [(x["src"], r["ids"][x["first"] + at], dist) for x in r["lists"] for at, dist in enumerate(x["dists"])]
+        want = [(i, j) for i in a for j in b if a != b or i < j]
+        assert sorted((i, j) for i, j, _ in found) == want
+        src, dst, dist = np.array(found).T if found else np.empty((3, 0))
+        assert (dist == D.L2.rows(data[src.astype(int)], data[dst.astype(int)])).all()
+
+
 def few_values(n, seed):
     """Pairs of few values, with many copies; some negative, so that the largest product depends on the point."""
     rng = np.random.default_rng(seed)
@@ -265,3 +294,14 @@ def test_row_best():
 def test_tiles_are_left_folds(name):
     a, b, m = synthetic(9, 33, 5).astype(float), synthetic(7, 33, 6).astype(float), D.metric(name)
     assert all((row == m.rows(np.broadcast_to(x, b.shape), b)).all() for row, x in zip(m.distances(a, b), a, strict=True))
+
+
+@pytest.mark.parametrize("name", ["l2", "inner_product"])
+@pytest.mark.parametrize("shape", [(3, 1, 200), (1, 1, 9), (4, 2, 50), (2, 3, 1000), (5, 260, 64), (3, 129, 300), (2, 5, 1), (2, 4, 0), (0, 3, 4), (3, 0, 4)])
+def test_folds_of_any_shape(name, shape):
+    """One column, columns of several strips, many components, one and none: each sum is taken in order."""
+    rng, m = np.random.default_rng(1), D.metric(name)
+    a, b = rng.normal(size=(shape[0], shape[2])), rng.normal(size=(shape[1], shape[2]))
+    got = m.distances(a, b)
+    assert got.shape == shape[:2]
+    assert all((row == m.rows(np.broadcast_to(x, b.shape), b)).all() for row, x in zip(got, a, strict=True))
