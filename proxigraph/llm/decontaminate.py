@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proxigraph.llm.common import shield, table, through_files
+from proxigraph.llm.common import lean, shield, table, through_files
 from proxigraph.llm.shingles import distinct, grouped, numbers_of, runs, runs_by_text, word_numbers
 
 SEED, COVERAGE = 5, 0.5
@@ -172,7 +172,7 @@ def _found(documents: DataFrame, benchmark: DataFrame, threshold: float) -> Data
         bitmap[r["word"]] = r["bits"]
     bitmap = spark.sparkContext.broadcast(bitmap.view(np.uint8))
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    suspects = rows.mapInArrow(_suspects(bitmap, rows.columns), "doc_id long, text string, seeds array<long>")
+    suspects = rows.mapInArrow(lean(_suspects(bitmap, rows.columns)), "doc_id long, text string, seeds array<long>")
     suspects = through_files(suspects.withColumn("row", F.monotonically_increasing_id()), "suspects")
     shared = suspects.select("row", F.explode("seeds").alias("seed")).join(seeds.select("item", "seed", "pos", "words"), "seed").groupBy("row", "item").agg(F.count(F.lit(1)).alias("n"), F.first("words").alias("words"))
     # A tile of L words has L - SEED + 1 >= L / SEED seeds, each at a place of its own in the item.

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proxigraph.llm.common import table, worker_state
+from proxigraph.llm.common import lean, table, worker_state
 
 DIMENSIONS = 1024
 #: The pipeline's, where unrelated texts' cosines spread by about 0.01, and those of n-grams' vectors that are made at a time.
@@ -182,7 +182,7 @@ def learn(labelled: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.nda
     """labelled: lang, text. The prototype of each language, as a bundle of all its texts."""
     schema = "lang string, part int, bundle array<long>"
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    parts = rows.mapInArrow(_bundles(dimensions), schema).groupBy("lang", "part").applyInArrow(_add, schema)
+    parts = rows.mapInArrow(lean(_bundles(dimensions)), schema).groupBy("lang", "part").applyInArrow(_add, schema)
     return {r["lang"]: np.array(r["bundle"], np.int64) for r in parts.groupBy("lang").applyInArrow(_add, schema).collect()}
 
 
@@ -192,22 +192,22 @@ def _predict(names: list[str], prototypes: np.ndarray, dimensions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch["text"].to_pylist()
-            bundles = np.zeros((len(texts), dimensions), np.float32)
-            lettered = np.zeros(len(texts), bool)
-            for at, group in pieces(texts):
-                of, ngram, n, letters, trigrams = count_ngrams(group)
-                if len(trigrams):
-                    np.add.at(bundles, at, bundled(of, ngram, n, len(group), letters, trigrams, dimensions, np.float32))
-                    lettered[np.array(at)[of]] = True
             best, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-            if names:
-                cosines = np.zeros((len(texts), len(names)))
-                for i in range(0, len(texts), DOCS):
-                    wide = bundles[i : i + DOCS].astype(np.float64)
-                    cosines[i : i + DOCS] = wide @ units.T / np.maximum(np.linalg.norm(wide, axis=1, keepdims=True), 1e-12)
-                first = cosines.argmax(1)
-                best[lettered] = np.array(names, object)[first[lettered]]
-                score[lettered] = np.clip(cosines[np.arange(len(texts)), first], 0, 1)[lettered]
+            for i in range(0, len(texts), DOCS):
+                some = texts[i : i + DOCS]
+                bundles = np.zeros((len(some), dimensions), np.float32)
+                lettered = np.zeros(len(some), bool)
+                for at, group in pieces(some):
+                    of, ngram, n, letters, trigrams = count_ngrams(group)
+                    if len(trigrams):
+                        np.add.at(bundles, at, bundled(of, ngram, n, len(group), letters, trigrams, dimensions, np.float32))
+                        lettered[np.array(at)[of]] = True
+                if names:
+                    wide = bundles.astype(np.float64)
+                    cosines = wide @ units.T / np.maximum(np.linalg.norm(wide, axis=1, keepdims=True), 1e-12)
+                    first = cosines.argmax(1)
+                    best[i : i + DOCS][lettered] = np.array(names, object)[first[lettered]]
+                    score[i : i + DOCS][lettered] = np.clip(cosines[np.arange(len(some)), first], 0, 1)[lettered]
             out = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "text"]
             yield pa.RecordBatch.from_arrays([*out, pa.array(best, pa.string()), pa.array(score)], [*(n for n in batch.schema.names if n != "text"), "lang_pred", "score"])
 
@@ -219,7 +219,7 @@ def predict(documents: DataFrame, prototypes: dict[str, np.ndarray], dimensions:
     names = sorted(prototypes)
     matrix = np.array([prototypes[n] for n in names], np.int64).reshape(len(names), dimensions)
     columns = [c.split()[0] for c in keep.split(",")]
-    return documents.select(*columns, "text").mapInArrow(_predict(names, matrix, dimensions), f"{keep}, lang_pred string, score double")
+    return documents.select(*columns, "text").mapInArrow(lean(_predict(names, matrix, dimensions)), f"{keep}, lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -248,4 +248,4 @@ def accepted(documents: DataFrame) -> DataFrame:
             good = np.array([n != UNKNOWN for n in found["lang_pred"].to_pylist()], bool) & (found["score"].to_numpy() >= LEAST)
             yield batch.filter(pa.array(good))
 
-    return documents.mapInArrow(keep, documents.schema)
+    return documents.mapInArrow(lean(keep), documents.schema)

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proxigraph.llm.common import removed_after, shield, table, through_files
+from proxigraph.llm.common import lean, removed_after, shield, table, through_files
 
 LEAD, MIN_GENERAL, MIN_DOCS, MIN_FIRST = 2, 5, 2, 3
 #: A token is a field if fewer than one in COMMON of its leaf's templates have it; a template has at most one field in FIELD_EVERY tokens.
@@ -161,7 +161,7 @@ def _generalised(documents: DataFrame, wholes: DataFrame) -> DataFrame:
     leaves = long.groupBy("leaf").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     loose = through_files(long.join(leaves, "leaf"), "loose-templates")
     bitmap = documents.sparkSession.sparkContext.broadcast(_bitmap(loose.select("k1")))
-    found = documents.select("text").mapInArrow(_tokens(bitmap), TOKEN_SCHEMA).groupBy("k1", "k2").agg(F.first("tokens").alias("tokens"), F.first("stretches").alias("stretches"))
+    found = documents.select("text").mapInArrow(lean(_tokens(bitmap)), TOKEN_SCHEMA).groupBy("k1", "k2").agg(F.first("tokens").alias("tokens"), F.first("stretches").alias("stretches"))
     loose = through_files(found.join(loose, ["k1", "k2"]), "loose-tokens")
     parts = loose.select("k1", "k2", F.explode("stretches").alias("stretch"))
     shared = parts.groupBy("stretch").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_FIRST).select("stretch")
@@ -181,7 +181,7 @@ def _generalised(documents: DataFrame, wholes: DataFrame) -> DataFrame:
 def dropped_lines(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """documents: doc_id, text, _row (its number, the same each time it is read). Returns row and lines: numbers (from 0) of the lines to drop; one row a row that has any."""
     rows = documents.select(F.col("_row").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text")
-    lines = through_files(rows.mapInArrow(_lines, LINE_SCHEMA), "lines")
+    lines = through_files(rows.mapInArrow(lean(_lines), LINE_SCHEMA), "lines")
     document, nameless = _document("doc", "row"), F.when(F.col("doc") == LAST, F.col("row"))
     found = lines.groupBy("k1", "k2").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.min("doc").alias("d"), F.max("doc").alias("last"), F.min(nameless).alias("r"), F.max(nameless).alias("last_row"), *([] if min_docs == 2 else [F.count_distinct(document).alias("docs")]))
     many = (F.col("d") < F.col("last")) | ((F.col("d") == LAST) & (F.col("r") < F.col("last_row"))) if min_docs == 2 else F.col("docs") >= min_docs

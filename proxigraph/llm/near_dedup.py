@@ -55,7 +55,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proxigraph.llm.common import removed_after, shield, table, through_files
+from proxigraph.llm.common import lean, removed_after, shield, table, through_files
 from proxigraph.llm.components import components
 from proxigraph.llm.shingles import BASE, grouped, mix, shingles_of
 
@@ -107,7 +107,7 @@ def _add(rows: pa.Table) -> pa.Table:
 def idf_table(documents: DataFrame) -> np.ndarray:
     """1 + scaled inverse document frequency by cell, over all documents."""
     schema = "chunk int, part int, data binary"
-    parts = documents.select("text").mapInArrow(_frequencies, schema).groupBy("chunk", "part").applyInArrow(_add, schema)
+    parts = documents.select("text").mapInArrow(lean(_frequencies), schema).groupBy("chunk", "part").applyInArrow(_add, schema)
     rows = parts.groupBy("chunk").applyInArrow(_add, schema).collect()  # 2^CELLS / CHUNK rows and one
     cells, docs = np.zeros(1 << CELLS), 0
     for r in rows:
@@ -498,7 +498,7 @@ def _searched(documents: DataFrame, least: float) -> tuple[DataFrame, DataFrame]
     rows = documents.withColumn("_row", F.monotonically_increasing_id())
     made = [T.StructField("_digest", T.BinaryType()), T.StructField("_bands", T.ArrayType(T.LongType())), T.StructField("_marks", T.BinaryType()), T.StructField("_size", T.LongType()), T.StructField("_weight", T.DoubleType())]
     schema = T.StructType([*rows.schema.fields, *made])
-    signed = through_files(rows.mapInArrow(_sign(idf, _arrow_schema(schema)), schema), "signed", outlives=True)
+    signed = through_files(rows.mapInArrow(lean(_sign(idf, _arrow_schema(schema))), schema), "signed", outlives=True)
     # Rows of one node have the same samples; the first row in the order of doc_id speaks for it.
     rank = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.col("_row").alias("row"))
     nodes = through_files(signed.groupBy("_digest").agg(F.min(rank).alias("rank"), F.first("_bands").alias("bands"), F.first("_size").alias("size")).withColumn("node", F.col("rank.row")), "nodes")
@@ -512,7 +512,7 @@ def _searched(documents: DataFrame, least: float) -> tuple[DataFrame, DataFrame]
 
     def verified(likely: DataFrame) -> DataFrame:
         both = likely.join(sided(texts, "u"), "u").join(sided(texts, "v"), "v")
-        return through_files(both.mapInArrow(_verify(idf, least), "u long, v long"), "verified")
+        return through_files(both.mapInArrow(lean(_verify(idf, least)), "u long, v long"), "verified")
 
     marked = _stars(buckets).join(sided(tokens, "u"), "u").join(sided(tokens, "v"), "v")
     pairs = through_files(marked.mapInArrow(_likely(least), "u long, v long"), "pairs")

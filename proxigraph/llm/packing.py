@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proxigraph.llm.common import table, through_files
+from proxigraph.llm.common import lean, table, through_files
 from proxigraph.llm.pretokens import MEMO, encoder, tokenizer_path
 
 SEQ_LEN, END = 2048, 1
@@ -184,14 +184,15 @@ def pack(documents: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, window: i
     rows = documents.select("doc_id", "source", "text")
     if any(f.dataType.typeName() == "void" for f in rows.schema):
         rows = rows.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
-    tokens = through_files(rows.mapInArrow(_tokenise(tokenizer, end, memo), TOKENS_SCHEMA), "packing-tokens")
+    tokens = through_files(rows.mapInArrow(lean(_tokenise(tokenizer, end, memo)), TOKENS_SCHEMA), "packing-tokens")
     blocks = tokens.groupBy("source", "block").agg(F.sum("n").alias("n"))
     totals = blocks.groupBy("source").agg(F.sum("n").alias("n"))
     # One row a source, as a mixture names each; documents have many fewer sources than there are documents.
     top = [(r["source"], r["n"]) for r in totals.orderBy(F.col("n").desc(), F.col("source")).collect()]
     queue_of = {s: i for i, (s, _) in enumerate(top)}
     # Sources are matched as values, not by position, so a recomputed stage finds the same queues.
-    queues = spark.createDataFrame([(s, i) for s, i in queue_of.items()] or [(None, 0)], "source string, queue int")
+    # As an Arrow table: rows of Python's would go through workers of a second Python daemon on each executor.
+    queues = spark.createDataFrame(pa.table({"source": pa.array(list(queue_of), pa.string()), "queue": pa.array(list(queue_of.values()), pa.int32())}), "source string, queue int")
     numbered = blocks.join(queues.withColumnRenamed("source", "known"), F.col("source").eqNullSafe(F.col("known")))
     order = Window.partitionBy("queue").orderBy("source", "block").rowsBetween(Window.unboundedPreceding, -1)
     base = through_files(numbered.select("source", "block", "queue", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")), "packing-queues")
@@ -200,7 +201,7 @@ def pack(documents: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, window: i
     plan = Schedule(sizes, shares, window or seq_len)
     # base has a row for each source and input block; Spark broadcasts it only below its own size threshold.
     placed = tokens.join(base.withColumnsRenamed({"source": "of", "block": "in"}), F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("in")))
-    return placed.select("doc_id", "n", "queue", (F.col("base") + F.col("place")).alias("first"), "ids").mapInArrow(_cut(plan, seq_len, with_ids), PIECE_SCHEMA)
+    return placed.select("doc_id", "n", "queue", (F.col("base") + F.col("place")).alias("first"), "ids").mapInArrow(lean(_cut(plan, seq_len, with_ids)), PIECE_SCHEMA)
 
 
 def sequences(pieces: DataFrame, seq_len: int = SEQ_LEN, pad: int = 0) -> DataFrame:

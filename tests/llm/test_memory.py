@@ -1,0 +1,64 @@
+"""What the Python workers of a pipeline's executor hold."""
+
+import tracemalloc
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from proxigraph.llm import common, language_id, packing, pretokens
+
+
+def held_mb():
+    found = [x for x in Path("/proc/self/status").read_text().splitlines() if x.startswith("RssAnon")]
+    return int(found[0].split()[1]) / 1024
+
+
+def test_packing_starts_no_second_daemon(spark, docs_of, monkeypatch):
+    """Rows of Python's that become a table go through a Python daemon of their own on each executor."""
+    docs = docs_of([(i, "some words " * i, None, ["a", None, "b"][i % 3]) for i in range(9)])
+
+    def refuse(*_, **__):
+        raise AssertionError("parallelize")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refuse)
+    for rows in (docs, docs.limit(0)):
+        found = packing.pack(rows, pretokens.tokenizer_path("byte_bpe_50k.json")).collect()
+        assert {r["doc_id"] for r in found} == ({*range(9)} if rows is docs else set())
+
+
+def test_bundles_of_few_texts_are_held():
+    """Of a batch of 1000 texts, all bundles would be 41 MB at the pipeline's dimensions."""
+    size = language_id.STAGE_DIMENSIONS
+    judge = language_id._predict(["x", "y"], np.random.default_rng(5).integers(-9, 9, (2, size)), size)
+    batch = pa.RecordBatch.from_pydict({"text": ["ab", "", None, "ba ab"] * 250})
+    tracemalloc.start()
+    try:
+        (found,) = judge(iter([batch]))
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert peak < 30
+    alone = [next(judge(iter([batch.slice(i, 1)]))).to_pylist()[0] for i in range(4)]
+    for i, r in enumerate(found.to_pylist()):
+        assert r["lang_pred"] == alone[i % 4]["lang_pred"] and r["score"] == pytest.approx(alone[i % 4]["score"], abs=1e-12)
+    assert [r["lang_pred"] for r in alone[1:3]] == ["und", "und"]
+
+
+def test_tasks_return_free_memory():
+    """Freed arrays below one that stays are not the system's again by themselves."""
+    stay = []
+
+    def run(batches):
+        for batch in batches:
+            parts = [np.ones(12_000) for _ in range(1500)]  # 144 MB
+            stay.append(np.ones(12_000))
+            del parts
+            yield batch
+
+    batch = pa.RecordBatch.from_pydict({"x": [1]})
+    common.release()
+    before = held_mb()
+    assert list(common.lean(run)(iter([batch, batch]))) == [batch, batch]
+    assert held_mb() < before + 40
