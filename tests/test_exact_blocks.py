@@ -191,6 +191,19 @@ def test_all_pairs_fold_and_leave_python_once(spark, metric):
     assert (rows.dist.to_numpy() == D.metric(metric).rows(data[rows.src - 5], data[rows.dst - 5])).all()
 
 
+@pytest.mark.parametrize("metric", ["l2", "inner_product"])
+def test_all_pairs_take_little_disk(spark, tmp_path, monkeypatch, metric):
+    """A point is sent a few times only, and in a file a pair's second row takes next to nothing: of 24 bytes a row about half a distance is left."""
+    n, sent, met = 1200, [], exact._met
+    monkeypatch.setattr(exact, "_met", lambda vecs, block, *more: sent.append(block) or met(vecs, block, *more))
+    got = all_pairs(from_array(spark, np.random.default_rng(3).normal(size=(n, 8))), metric, parallelism=4, block=16)
+    assert n / sent[0] <= 10
+    got = all_pairs(from_array(spark, np.random.default_rng(3).normal(size=(n, 8))), metric)
+    got.coalesce(1).write.parquet(str(tmp_path / "pairs"))
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 6 * n * (n - 1)
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == n * (n - 1)
+
+
 @pytest.mark.parametrize("sizes", [(1, 1), (2, 1), (1, 300), (300, 1), (257, 256), (256, 257), (600, 513)])
 def test_listed_pairs(sizes):
     """Each pair of two blocks, or of different points of one, is in one list."""
